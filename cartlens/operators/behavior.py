@@ -148,8 +148,12 @@ def naive_user_gap(df):
     return stats.select(
         "user_id",
         "n_events",
-        F.try_divide(
-            X.elapsed_seconds("first_time", "last_time"), F.col("n_events") - 1
+        (
+            F.try_divide(
+                F.timestamp_diff("MICROSECOND", "first_time", "last_time"),
+                F.col("n_events") - 1,
+            )
+            / MICROS
         ).alias("mean_gap_seconds"),
     )
 
