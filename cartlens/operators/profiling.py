@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from cartlens.functions.expressions import ratio
@@ -110,21 +112,41 @@ def feature_summary(df, columns, accuracy=None):
 
 
 def correlations(df, columns):
-    """Pearson correlation of every ordered pair of columns: ``a, b, corr``."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(
-        *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.var_pop(c).alias(f"v_{c}") for c in columns],
-    )
+    """Pearson correlation of every ordered pair of columns: ``a, b, corr``.
+
+    Null where a column does not vary.  Without nulls in the table the whole matrix comes
+    from one vector aggregate; with nulls each pair uses the rows where both are present,
+    which takes one aggregate per pair and is slower.
+    """
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    checked = numeric.agg(
+        F.count_if(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))).alias("_nulls"),
+        *[F.var_pop(c).alias(c) for c in columns],
+    ).first()
+    varies = {c: bool(checked[c] and checked[c] > 0) for c in columns}
+    if checked["_nulls"] or not any(varies.values()):
+        found = _pairwise_correlations(numeric, columns)
+    else:
+        vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(numeric)
+        found = Correlation.corr(vectors, "v").first()[0].toArray().tolist()
     cells = [
-        (a, b, F.col(f"c{i}")) for i, pair in enumerate(pairs) for a, b in (pair, pair[::-1])
-    ]
-    cells += [(c, c, F.when(F.col(f"v_{c}") > 0, F.lit(1.0))) for c in columns]
-    rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value.alias("corr"))
-        for a, b, value in cells
+        (a, b, found[i][j] if varies[a] and varies[b] else None)
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
     ]
-    return wide.select(F.inline(F.array(*rows))).withColumn("corr", F.nanvl("corr", F.lit(None)))
+    # Width of the table squared.
+    return df.sparkSession.createDataFrame(cells, "a string, b string, corr double")
+
+
+def _pairwise_correlations(df, columns):
+    pairs = list(combinations(range(len(columns)), 2))
+    row = df.agg(
+        F.count(F.lit(1)), *[F.corr(columns[i], columns[j]) for i, j in pairs]
+    ).first()
+    matrix = [[1.0] * len(columns) for _ in columns]
+    for (i, j), value in zip(pairs, row[1:]):
+        matrix[i][j] = matrix[j][i] = value
+    return matrix
 
 
 def histogram(df, column, bins=30):

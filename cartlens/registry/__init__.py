@@ -1,6 +1,7 @@
 """All registered queries and, where one exists, the equivalent SQL."""
 
 from cartlens.registry import evaluation, events, profiles  # noqa: F401
+from cartlens.registry import modelling  # noqa: F401  reads the SQL of the three above
 from cartlens.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

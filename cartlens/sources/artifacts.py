@@ -70,8 +70,20 @@ def read_baseline(spark, path):
     return spark.read.schema(BASELINE).json(path)
 
 
+# All six digits of a second; the default format stops at three.
+CSV_OPTIONS = {
+    "header": True,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def write_csv(df, path):
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+def read_csv(spark, path, schema):
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
 def write_frame(df, path):
