@@ -21,6 +21,16 @@ def lay_out(df, order):
     return df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()).checkpoint()
 
 
+def stable_layout(df, key):
+    """The same rows in the same order in the same partitions, however ``df`` is stored.
+
+    Seeded algorithms draw per partition, so a seed alone does not make them repeatable.
+    ``key`` must be unique.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key)
+
+
 def running_sums(df, order, sums, totals=None):
     """Add running sums over a global order.
 

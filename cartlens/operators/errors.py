@@ -3,6 +3,7 @@
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
+from cartlens.functions.ordered import stable_layout
 from cartlens.operators.classification import with_prediction
 
 
@@ -17,7 +18,9 @@ def high_confidence_errors(scored, threshold=0.5, confidence=0.85):
 
 def cluster_errors(errors, k=3, seed=42, vector="features"):
     """Add ``cluster`` by k-means on the feature vector of the trained pipeline."""
-    model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(errors)
+    model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(
+        stable_layout(errors.select("row_id", vector), "row_id")
+    )
     return model.transform(errors)
 
 

@@ -5,6 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from cartlens.functions.expressions import stable_hash
+from cartlens.functions.ordered import stable_layout
 from cartlens.schema import RFM_COLUMNS
 from cartlens.session import materialise
 
@@ -37,7 +38,9 @@ def rfm_segments(users, k=4, seed=42):
         inputCols=[f"{c}_z" for c in RFM_COLUMNS], outputCol="_scaled"
     )
     vectors = assembler.transform(scaled)
-    model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="_cluster").fit(vectors)
+    model = KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="_cluster").fit(
+        stable_layout(vectors.select("user_id", "_scaled"), "user_id")
+    )
     monetary = [float(center[2]) for center in model.clusterCenters()]
     by_monetary = sorted(range(len(monetary)), key=lambda c: monetary[c])
     number = F.array(*[F.lit(by_monetary.index(c)) for c in range(len(monetary))])

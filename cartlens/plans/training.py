@@ -20,6 +20,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
+from cartlens.functions.ordered import stable_layout
 from cartlens.operators.profiling import class_balance
 from cartlens.operators.splits import stratified_folds
 from cartlens.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
@@ -119,7 +120,10 @@ def fit_model(train, validation=None, early_stop_tolerance=0.01, **params):
                 trees.validationTol: early_stop_tolerance,
             }
         )
-    model = trees.fit(prepared.transform(rows))
+    columns = ["row_id", "features", TARGET, WEIGHT]
+    if validation is not None:
+        columns.append(IS_VALIDATION)
+    model = trees.fit(stable_layout(prepared.transform(rows).select(columns), "row_id"))
     return PipelineModel(stages=[*prepared.stages, model])
 
 
@@ -139,7 +143,7 @@ def search(train, grid=None, n_iter=None, folds=3, parallelism=4, seed=42, **par
     prepared = feature_pipeline(train)
     folded = materialise(
         prepared.transform(stratified_folds(with_class_weight(train), folds, seed=seed)).select(
-            "features", TARGET, WEIGHT, "fold"
+            "row_id", "features", TARGET, WEIGHT, "fold"
         ),
         "folds",
     )
@@ -152,7 +156,8 @@ def search(train, grid=None, n_iter=None, folds=3, parallelism=4, seed=42, **par
     def mean_auc(setting):
         aucs = []
         for fold in range(folds):
-            model = trees.fit(folded.where(F.col("fold") != fold), setting)
+            rest = stable_layout(folded.where(F.col("fold") != fold), "row_id")
+            model = trees.fit(rest, setting)
             aucs.append(evaluator.evaluate(model.transform(folded.where(F.col("fold") == fold))))
         return float(sum(aucs) / folds)
 
@@ -165,7 +170,8 @@ def search(train, grid=None, n_iter=None, folds=3, parallelism=4, seed=42, **par
         ({param.name: value for param, value in setting.items()}, auc)
         for setting, auc in zip(settings, aucs)
     ]
-    return PipelineModel(stages=[*prepared.stages, trees.fit(folded, best)]), tried
+    model = trees.fit(stable_layout(folded, "row_id"), best)
+    return PipelineModel(stages=[*prepared.stages, model]), tried
 
 
 def search_table(spark, tried):
