@@ -96,13 +96,12 @@ def previous_value(df, keys, order, value, name):
     )
 
 
-def exact_quantiles(df, columns, probabilities):
-    """Exact, linearly interpolated quantiles of several columns.
+def value_ranks(df, columns):
+    """Distinct values of several columns with their place among all values of the column.
 
-    The built-in ``percentile`` keeps all distinct values of a group in one buffer.  This
-    counts distinct values first, then looks up the two order statistics around each
-    position in the running counts.  Returns ``feature`` and one column ``q0..qk`` per
-    probability.
+    Columns: ``feature, value, n, rank, total, mean``, where ``rank`` counts the values up to
+    and with this one, and ``total`` and ``mean`` are those of the whole column.  Values are
+    doubles; nulls are left out.  The table is checkpointed, so ``df`` is read once.
     """
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "feature", "value"
@@ -112,12 +111,18 @@ def exact_quantiles(df, columns, probabilities):
     )
     ranked = running_sums(counted, [F.col("feature"), F.col("value")], {"upto": "n"})
     sizes = ranked.groupBy("feature").agg(
-        F.min(F.col("upto") - F.col("n")).alias("base"), F.sum("n").alias("total")
+        F.min(F.col("upto") - F.col("n")).alias("base"),
+        F.sum("n").alias("total"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
     )
     # One row per column name: bounded by the width of the table.
-    placed = ranked.join(F.broadcast(sizes), "feature").withColumn(
-        "rank", F.col("upto") - F.col("base")
+    return ranked.join(F.broadcast(sizes), "feature").select(
+        "feature", "value", "n", (F.col("upto") - F.col("base")).alias("rank"), "total", "mean"
     )
+
+
+def quantiles_of_ranks(ranks, probabilities, *also):
+    """Linearly interpolated quantiles ``q0..qk`` per feature, and more aggregates if given."""
     last = F.col("total") - 1
     picks = []
     for i, p in enumerate(probabilities):
@@ -127,13 +132,20 @@ def exact_quantiles(df, columns, probabilities):
             F.min(F.when(F.col("rank") > F.ceil(position), F.col("value"))).alias(f"hi{i}"),
             F.max(position - F.floor(position)).alias(f"part{i}"),
         ]
-    found = placed.groupBy("feature").agg(*picks)
-    return found.select(
-        "feature",
-        *[
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(
-                f"q{i}"
-            )
-            for i in range(len(probabilities))
-        ],
-    )
+    found = ranks.groupBy("feature").agg(*picks, *also)
+    quantiles = [
+        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}")
+        for i in range(len(probabilities))
+    ]
+    extra = found.columns[1 + len(picks) :]
+    return found.select("feature", *quantiles, *extra)
+
+
+def exact_quantiles(df, columns, probabilities):
+    """Exact, linearly interpolated quantiles of several columns: ``feature, q0..qk``.
+
+    The built-in ``percentile`` keeps all distinct values of a group in one buffer.  This
+    counts distinct values first, then looks up the two order statistics around each
+    position in the running counts.
+    """
+    return quantiles_of_ranks(value_ranks(df, columns), probabilities)

@@ -25,11 +25,14 @@ def category_dictionary(df, columns):
     )
 
 
-def with_category_codes(df, columns, dictionary=None, row_key="row_id"):
-    """Replace each column by its code; a value the dictionary lacks gets null."""
+def with_category_codes(df, columns, dictionary=None, hot=None, row_key="row_id"):
+    """Replace each column by its code; a value the dictionary lacks gets null.
+
+    ``hot`` comes from ``hot_keys`` on a cheaper table with the same columns, if there is one.
+    """
     table = category_dictionary(df, columns) if dictionary is None else dictionary
     coded = df
-    hot = hot_keys(df, columns)
+    hot = hot_keys(df, columns) if hot is None else hot
     for column in columns:
         codes = table.where(F.col("feature") == column).select(
             F.col("value").alias(column), F.col("code").alias("_code")

@@ -2,12 +2,13 @@
 
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from cartlens.functions.expressions import ratio
-from cartlens.functions.ordered import exact_quantiles
+from cartlens.functions.ordered import exact_quantiles, quantiles_of_ranks, value_ranks
 
 
 def value_counts(df, column):
@@ -64,25 +65,48 @@ def feature_moments(df, columns):
     return wide.select(F.inline(F.array(*rows)))
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+SUMMARY = ["feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+
+
 def feature_summary(df, columns, accuracy=None):
     """Count, mean, std, min, quartiles and max per numeric column.
 
-    Quartiles are exact, at the price of sorting the distinct values of each column.  With
-    ``accuracy`` they come from a bounded sketch in the same single pass as the rest.
+    Quartiles are exact, and everything then comes from the counts of distinct values, so
+    ``df`` is read once.  With ``accuracy`` the quartiles come from a bounded sketch, and
+    nothing is sorted.
     """
-    quartiles = [0.25, 0.5, 0.75]
+    if accuracy:
+        return _sketched_summary(df, columns, accuracy).select(*SUMMARY)
+    n, value = F.col("n"), F.col("value")
+    squares = F.sum(n * F.pow(value - F.col("mean"), 2))
+    found = quantiles_of_ranks(
+        value_ranks(df, columns),
+        QUARTILES,
+        F.sum("n").alias("count"),
+        F.max("mean").alias("mean"),
+        F.sqrt(F.try_divide(squares, F.sum("n") - 1)).alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    ).withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
+    # A column of nulls only has a count of 0 and no other measure.
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(found, "feature", "left").withColumn(
+        "count", F.coalesce("count", F.lit(0))
+    ).select(*SUMMARY)
+
+
+def _sketched_summary(df, columns, accuracy):
     measures = {
-        "count": lambda c: F.count(c),
-        "mean": lambda c: F.avg(c),
-        "std": lambda c: F.stddev_samp(c),
-        "min": lambda c: F.min(F.col(c).cast("double")),
-        "max": lambda c: F.max(F.col(c).cast("double")),
+        "count": F.count,
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+        "quartiles": lambda c: F.percentile_approx(c, QUARTILES, accuracy),
     }
-    if accuracy:
-        measures["quartiles"] = lambda c: F.percentile_approx(
-            F.col(c).cast("double"), quartiles, accuracy
-        )
-    wide = df.agg(
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    wide = numeric.agg(
         *[make(c).alias(f"{name}_{c}") for name, make in measures.items() for c in columns]
     )
     rows = [
@@ -91,23 +115,8 @@ def feature_summary(df, columns, accuracy=None):
         )
         for c in columns
     ]
-    tall = wide.select(F.inline(F.array(*rows)))
-    if accuracy:
-        tall = tall.select(
-            "*", *[F.col("quartiles")[i].alias(f"q{i}") for i in range(3)]
-        ).drop("quartiles")
-    else:
-        tall = tall.join(exact_quantiles(df, columns, quartiles), "feature", "left")
-    return tall.select(
-        "feature",
-        "count",
-        "mean",
-        "std",
-        "min",
-        F.col("q0").alias("q25"),
-        F.col("q1").alias("q50"),
-        F.col("q2").alias("q75"),
-        "max",
+    return wide.select(F.inline(F.array(*rows))).withColumns(
+        {f"q{p}": F.col("quartiles")[i] for i, p in enumerate((25, 50, 75))}
     )
 
 
@@ -119,16 +128,22 @@ def correlations(df, columns):
     which takes one aggregate per pair and is slower.
     """
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    checked = numeric.agg(
-        F.count_if(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))).alias("_nulls"),
-        *[F.var_pop(c).alias(c) for c in columns],
-    ).first()
-    varies = {c: bool(checked[c] and checked[c] > 0) for c in columns}
-    if checked["_nulls"] or not any(varies.values()):
-        found = _pairwise_correlations(numeric, columns)
-    else:
-        vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(numeric)
-        found = Correlation.corr(vectors, "v").first()[0].toArray().tolist()
+    numeric.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        checked = numeric.agg(
+            F.count_if(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))).alias(
+                "_nulls"
+            ),
+            *[F.var_pop(c).alias(c) for c in columns],
+        ).first()
+        varies = {c: bool(checked[c] and checked[c] > 0) for c in columns}
+        if checked["_nulls"] or not any(varies.values()):
+            found = _pairwise_correlations(numeric, columns)
+        else:
+            vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(numeric)
+            found = Correlation.corr(vectors, "v").first()[0].toArray().tolist()
+    finally:
+        numeric.unpersist()
     cells = [
         (a, b, found[i][j] if varies[a] and varies[b] else None)
         for i, a in enumerate(columns)

@@ -39,5 +39,6 @@ def model_frame(events, segments=4, seed=42, encode=False, purchases_only=False)
     if encode:
         categories = B.with_category_parts(events)
         dictionary = category_dictionary(categories, ["main_category"])
-        frame = with_category_codes(frame, ["main_category"], dictionary)
+        hot = hot_keys(B.cart_events(categories), ["main_category"])
+        frame = with_category_codes(frame, ["main_category"], dictionary, hot)
     return frame

@@ -18,6 +18,7 @@ from cartlens.operators.segments import with_zscores
 from cartlens.plans.scoring import scoring_inputs as inputs
 from cartlens.registry.base import clicks, features, register, rounded, with_time_text
 from cartlens.schema import CLICKSTREAM, RFM_COLUMNS
+from cartlens.session import materialise
 from cartlens.sources import clickstream as S
 
 EVENT_COLUMNS = """row_id, strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time, event_type,
@@ -186,7 +187,9 @@ def _strained_features(spark, sf_dir, segments):
     ["features"],
 )
 def processed_rule_counts(spark, sf_dir):
-    coded = with_category_codes(_strained_features(spark, sf_dir, 4), ["main_category"])
+    # Written out, as the dictionary and the join both read it.
+    frame = materialise(_strained_features(spark, sf_dir, 4), "features")
+    coded = with_category_codes(frame, ["main_category"])
     return violation_counts(coded, processed_rules())
 
 

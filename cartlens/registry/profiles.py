@@ -181,14 +181,14 @@ FROM (SELECT b.feature, b.mean AS base, n.mean AS now,
   FROM ({_moments_sql()}) b
   LEFT JOIN (SELECT feature, mean FROM ({_moments_sql(factor=1.15)})
     WHERE feature NOT IN ('monetary', 'price')
-    UNION ALL SELECT 'price', avg(price) * 1.05 FROM features) n USING (feature))""",
+    UNION ALL SELECT 'price', avg(price) * 1.07 FROM features) n USING (feature))""",
     ["features"],
 )
 def drift_report(spark, sf_dir):
     frame = features(spark, sf_dir).select(*NUMERIC_FEATURES)
     baseline = P.feature_moments(frame, NUMERIC_FEATURES)
     shifted = [
-        (F.col(c) * (1.05 if c == "price" else 1.15)).alias(c)
+        (F.col(c) * (1.07 if c == "price" else 1.15)).alias(c)
         for c in NUMERIC_FEATURES
         if c != "monetary"
     ]
