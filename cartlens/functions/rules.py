@@ -65,6 +65,11 @@ def request_rules():
     }
 
 
+def not_null(df):
+    """True where no column is null; a plain conjunction, which reaches the Parquet scan."""
+    return reduce(lambda left, right: left & right, [F.col(c).isNotNull() for c in df.columns])
+
+
 def _broken(condition):
     return ~F.coalesce(condition, F.lit(False))
 

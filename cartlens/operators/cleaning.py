@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cartlens.functions.ordered import exact_quantiles
+from cartlens.functions.rules import not_null
 from cartlens.schema import REQUIRED_COLUMNS
 
 
@@ -15,7 +16,12 @@ def require_columns(df, columns=REQUIRED_COLUMNS):
 
 
 def drop_null_rows(df):
-    return df.na.drop("any")
+    """Rows without a null; a NaN counts as missing too."""
+    complete = not_null(df)
+    for field in df.schema.fields:
+        if field.dataType.typeName() in ("double", "float"):
+            complete = complete & ~F.isnan(field.name)
+    return df.where(complete)
 
 
 def drop_duplicate_rows(df):

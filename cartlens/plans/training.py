@@ -29,8 +29,8 @@ from cartlens.session import materialise
 WEIGHT = "_weight"
 IS_VALIDATION = "_is_validation"
 
-# The full search space, under the names of the Spark parameters.  Its 144
-# distinct settings are more than a search needs by default; see SMALL_GRID.
+# The full search space, under the names of the Spark parameters.  Its 216
+# settings are for a cluster; SMALL_GRID is the default.
 FULL_GRID = {
     "stepSize": [0.01, 0.05, 0.1],
     "maxDepth": [3, 5, 7],
@@ -103,7 +103,7 @@ def boosted_trees(**params):
 def fit_model(train, validation=None, early_stop_tolerance=0.01, **params):
     """Feature pipeline and boosted trees as one ``PipelineModel``.
 
-    With ``validation``, boosting stops when the loss on those rows no longer falls by
+    ``train`` is read several times: pass a stored frame.  With ``validation``, boosting stops when the loss on those rows no longer falls by
     ``early_stop_tolerance``; the feature pipeline still learns from ``train`` alone.
     """
     prepared = feature_pipeline(train)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.functions.ordered import running_sums
+from cartlens.functions.rules import not_null
 from cartlens.schema import CLICKSTREAM
 
 STAR_EVENTS = T.StructType(
@@ -93,7 +94,7 @@ def load_clickstream(df, k=10, limit=None):
     """Rows without any null whose category is one of the ``k`` most frequent."""
     # At most k rows, by the limit above.
     frequent = F.broadcast(top_categories(df, k).select("category_code"))
-    loaded = df.dropna("any").join(frequent, "category_code", "left_semi").select(*df.columns)
+    loaded = df.where(not_null(df)).join(frequent, "category_code", "left_semi").select(*df.columns)
     return loaded if limit is None else first_rows(loaded, limit)
 
 

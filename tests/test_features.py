@@ -50,6 +50,11 @@ def test_clean_drops_nulls_and_copies(make_events, spark):
     assert cleaning.clean(doubled).count() == 19
 
 
+def test_nan_counts_as_missing(make_events):
+    events = make_events([(T0, "view", 1, "a.b", p, 1, "x") for p in (1.0, float("nan"), 2.0)])
+    assert cleaning.drop_null_rows(events).count() == 2
+
+
 def test_load_keeps_frequent_categories_without_nulls(events, spark, tmp_path):
     loaded = load_clickstream(events, k=1)
     assert {r["category_code"] for r in loaded.collect()} == {"a.b.c"}

@@ -50,6 +50,7 @@ def test_scans_read_only_the_columns_they_need(spark):
 
 def test_cart_filter_reaches_the_scan(spark):
     from cartlens.operators.behavior import cart_events
+    from cartlens.operators.cleaning import drop_null_rows
     from cartlens.sources.clickstream import read_clickstream, star_clickstream
     from cartlens.session import scratch_path
 
@@ -57,3 +58,5 @@ def test_cart_filter_reaches_the_scan(spark):
     star_clickstream(spark, SF_DIR).write.parquet(path)
     plan = _plan(cart_events(read_clickstream(spark, path)).select("row_id"))
     assert "EqualTo(event_type,cart)" in plan
+    cleaned = _plan(drop_null_rows(read_clickstream(spark, path)))
+    assert "IsNotNull(brand)" in cleaned.split("PushedFilters")[1]
