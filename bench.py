@@ -1,4 +1,8 @@
-"""Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; print one JSON line."""
+"""Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; print one JSON line.
+
+Every query runs twice; its time is the shorter one, so that starting the JVM's compiler is not
+counted for whichever query comes first.
+"""
 
 import json
 import os
@@ -51,13 +55,12 @@ def main():
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the JVM's readers and the code generator once, on a query that is not timed.
-    QUERIES["event_type_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
-    for name in HEADLINE:
+    for name in HEADLINE * 2:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        took = round(time.perf_counter() - start, 3)
+        times[name] = min(took, times.get(name, took))
     print(
         json.dumps(
             {

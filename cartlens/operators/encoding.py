@@ -6,6 +6,9 @@ from cartlens.functions.expressions import UNKNOWN
 from cartlens.functions.ordered import running_sums
 from cartlens.functions.skew import hot_keys, join_key_stats
 
+# Some tens of megabytes: a fixed bound on what is broadcast.
+BROADCAST_ENTRIES = 500_000
+
 
 def category_dictionary(df, columns):
     """``feature, value, code``: the 0-based place of each value in the sorted values.
@@ -25,19 +28,28 @@ def category_dictionary(df, columns):
     )
 
 
-def with_category_codes(df, columns, dictionary=None, hot=None, row_key="row_id"):
+def with_category_codes(df, columns, dictionary=None, row_key="row_id"):
     """Replace each column by its code; a value the dictionary lacks gets null.
 
-    ``hot`` comes from ``hot_keys`` on a cheaper table with the same columns, if there is one.
+    The entries are counted first: up to ``BROADCAST_ENTRIES`` per column the dictionary is
+    sent to the rows, above that the rows are shuffled, with hot values spread.
     """
     table = category_dictionary(df, columns) if dictionary is None else dictionary
+    entries = {
+        row["feature"]: row["count"]
+        for row in table.where(F.col("feature").isin(columns)).groupBy("feature").count().collect()
+    }
+    large = [c for c in columns if entries.get(c, 0) > BROADCAST_ENTRIES]
+    hot = hot_keys(df, large) if large else {}
     coded = df
-    hot = hot_keys(df, columns) if hot is None else hot
     for column in columns:
         codes = table.where(F.col("feature") == column).select(
             F.col("value").alias(column), F.col("code").alias("_code")
         )
         filled = coded.withColumn(column, F.coalesce(F.col(column), F.lit(UNKNOWN)))
-        joined = join_key_stats(filled, codes, column, hot, row_key)
+        if column in large:
+            joined = join_key_stats(filled, codes, column, hot, row_key)
+        else:
+            joined = filled.join(F.broadcast(codes), column, "left")
         coded = joined.drop(column).withColumnRenamed("_code", column)
     return coded.select(*df.columns)

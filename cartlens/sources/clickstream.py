@@ -50,7 +50,9 @@ def adapt_events(events, parts):
         "user_id",
         F.concat(F.col("user_id"), F.lit("-"), F.col("ts").cast("date")).alias("user_session"),
     )
-    products = parts.select(
+    # One row per product, stated as a distinct key: queries that use no product column then
+    # skip the join and do not read ``props``.
+    products = parts.dropDuplicates(["p_partkey"]).select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_size").cast("bigint").alias("category_id"),
         F.concat(F.lower("p_type"), F.lit("."), F.translate("p_name", " ", ".")).alias(

@@ -138,6 +138,16 @@ def test_codes_follow_sorted_values(events):
     assert (unseen[0]["main_category"], unseen[3]["main_category"]) == (0, None)
 
 
+def test_large_dictionary_is_joined_without_broadcast(random_events, monkeypatch):
+    from cartlens.operators import encoding
+
+    columns = ["category_code", "brand"]
+    sent = with_category_codes(random_events, columns).select("row_id", *columns)
+    monkeypatch.setattr(encoding, "BROADCAST_ENTRIES", 0)
+    shuffled = with_category_codes(random_events, columns).select("row_id", *columns)
+    assert sorted(sent.collect()) == sorted(shuffled.collect())
+
+
 def test_zscores_use_population_deviation(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, same double")
     rows = with_zscores(df, ["x", "same"]).collect()
