@@ -138,56 +138,54 @@ def score_curve(scored, by=()):
     )
 
 
-def ranking_metrics(curve, by=()):
-    """ROC AUC (ties count half), average precision and Brier score of a score curve.
-
-    AUC is null when a class is missing.  Products are taken as doubles: the number of
-    pairs of a large set does not fit a bigint.
-    """
+def _ranking_sums():
+    # Products are taken as doubles: the number of pairs of a large set does not fit a bigint.
     n, pos, p = F.col("n"), F.col("pos"), F.col("probability")
-    won_pairs = (n - pos).cast("double") * (F.col("cum_pos") - pos / 2)
-    precision = F.col("cum_pos") / F.col("cum_n")
-    sums = curve.groupBy(*by).agg(
-        F.sum(won_pairs).alias("won"),
-        F.sum(pos * precision).alias("gained"),
+    return [
+        F.sum((n - pos).cast("double") * (F.col("cum_pos") - pos / 2)).alias("won"),
+        F.sum(pos * (F.col("cum_pos") / F.col("cum_n"))).alias("gained"),
         F.sum(pos * F.pow(1 - p, 2) + (n - pos) * F.pow(p, 2)).alias("squares"),
-        F.max("total_n").cast("double").alias("total_n"),
-        F.max("total_pos").cast("double").alias("total_pos"),
-    )
-    total_n, total_pos = F.col("total_n"), F.col("total_pos")
-    return sums.select(
-        *by,
+        F.max("total_n").alias("total_n"),
+        F.max("total_pos").alias("total_pos"),
+    ]
+
+
+def _ranking_columns():
+    total_n, total_pos = F.col("total_n").cast("double"), F.col("total_pos").cast("double")
+    return [
         F.try_divide(F.col("won"), total_pos * (total_n - total_pos)).alias("roc_auc"),
         F.try_divide(F.col("gained"), total_pos).alias("average_precision"),
         (F.col("squares") / total_n).alias("brier_score"),
-    )
+    ]
+
+
+def ranking_metrics(curve, by=()):
+    """ROC AUC (ties count half), average precision and Brier score of a score curve.
+
+    AUC is null when a class is missing.
+    """
+    return curve.groupBy(*by).agg(*_ranking_sums()).select(*by, *_ranking_columns())
 
 
 def evaluation_metrics(scored, threshold=0.5):
     """Accuracy, precision, recall, F1, ROC AUC, average precision and Brier score.
 
-    All come from one score curve, so the scored set is read once.
+    All come from one aggregate over the score curve, so the scored set is read once.
     """
-    curve = score_curve(scored)
     reached = F.col("probability") >= F.lit(threshold)
-    counts = curve.agg(
+    sums = score_curve(scored).agg(
         F.sum(F.when(reached, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(reached, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"),
-        F.max("total_n").alias("total_n"),
-        F.max("total_pos").alias("total_pos"),
+        *_ranking_sums(),
     )
     tp, fp = F.col("tp"), F.col("fp")
     fn = F.col("total_pos") - tp
-    ranking = ranking_metrics(curve)
-    return counts.select(
+    return sums.select(
         ratio(F.col("total_n") - fp - fn, F.col("total_n")).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, F.col("total_pos")).alias("recall"),
         _f1(tp, fp, fn).alias("f1_score"),
-        *[
-            ranking.select(m).scalar().alias(m)
-            for m in ("roc_auc", "average_precision", "brier_score")
-        ],
+        *_ranking_columns(),
     )
 
 

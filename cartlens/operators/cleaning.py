@@ -47,7 +47,6 @@ def iqr_fences(df, column, reach=1.5):
 
 def outliers_iqr(df, column, reach=1.5):
     """Rows outside the fences."""
-    fences = iqr_fences(df, column, reach)
-    low = fences.select("lower_fence").scalar()
-    high = fences.select("upper_fence").scalar()
-    return df.where((F.col(column) < low) | (F.col(column) > high))
+    fences = iqr_fences(df, column, reach).select(F.struct("lower_fence", "upper_fence")).scalar()
+    below = F.col(column) < fences.getField("lower_fence")
+    return df.where(below | (F.col(column) > fences.getField("upper_fence")))

@@ -22,6 +22,8 @@ from cartlens.session import materialise
 def out_of_fold_scores(frame, k=5, seed=42, early_stopping=False, **params):
     """Score every row by a model that was fitted on the other folds.
 
+    ``n_trees`` is the size of that model, which early stopping may cut.
+
     The folded frame and the scores are written out: each is read many times.
     """
     folded = materialise(stratified_folds(frame, k, seed=seed), "folds")
@@ -30,7 +32,10 @@ def out_of_fold_scores(frame, k=5, seed=42, early_stopping=False, **params):
         train = folded.where(F.col("fold") != fold).drop("fold")
         held_out = folded.where(F.col("fold") == fold).drop("fold")
         model = fit_model(train, held_out if early_stopping else None, **params)
-        parts.append(scored_set(model, held_out).withColumn("fold", F.lit(fold)))
+        kept = F.lit(model.stages[-1].getNumTrees)
+        parts.append(
+            scored_set(model, held_out).withColumns({"fold": F.lit(fold), "n_trees": kept})
+        )
     return materialise(reduce(lambda a, b: a.unionByName(b), parts), "out-of-fold")
 
 
@@ -46,6 +51,9 @@ def full_evaluation(frame, k=5, metric="f1", seed=42, **params):
             {
                 "optimal_threshold": best.select("threshold").scalar(),
                 "optimal_score": best.select("score").scalar(),
+            "mean_trees": scores.groupBy("fold").agg(F.max("n_trees").alias("n_trees")).agg(
+                F.avg("n_trees")
+            ).scalar(),
             }
         ),
     }

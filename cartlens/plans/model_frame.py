@@ -9,6 +9,7 @@ from cartlens.operators.encoding import category_dictionary, with_category_codes
 from cartlens.operators.segments import rfm_segments
 from cartlens.schema import FEATURES, TARGET
 from cartlens.session import materialise
+from cartlens.sources.clickstream import with_row_ids
 
 
 def featured_carts(events, users=None):
@@ -29,11 +30,15 @@ def featured_carts(events, users=None):
 def model_frame(events, segments=4, seed=42, encode=False, purchases_only=False):
     """The full frame: ``row_id``, 14 features and target.
 
-    The cleaned events are written out once, as four branches read them.  ``main_category``
+    Events without a ``row_id`` get one after cleaning.  The cleaned events are written out
+    once, as four branches read them.  ``main_category``
     stays text, and is indexed inside the training pipeline, so that a scoring input can be
     given as text too; ``encode`` replaces it by its integer code among all ``events``.
     """
-    events = materialise(clean(events), "clean-events")
+    events = clean(events)
+    if "row_id" not in events.columns:
+        events = with_row_ids(events)
+    events = materialise(events, "clean-events")
     users = rfm_segments(B.user_profile(events, purchases_only), segments, seed)
     frame = featured_carts(events, users).select("row_id", *FEATURES, TARGET)
     if encode:

@@ -2,11 +2,9 @@
 
 from pyspark.sql import types as T
 
-# Raw clickstream events.  ``row_id`` is a stable row key: every tie in a sort is
-# broken on it, and scores are joined back to labels on it.
-CLICKSTREAM = T.StructType(
+# Raw clickstream events.
+RAW_CLICKSTREAM = T.StructType(
     [
-        T.StructField("row_id", T.LongType()),
         T.StructField("event_time", T.TimestampNTZType()),
         T.StructField("event_type", T.StringType()),
         T.StructField("product_id", T.LongType()),
@@ -19,6 +17,10 @@ CLICKSTREAM = T.StructType(
     ]
 )
 
+# The same with a stable row key: every tie in a sort is broken on it, and scores are joined
+# back to labels on it.  ``with_row_ids`` adds one to a table that has none.
+CLICKSTREAM = T.StructType([T.StructField("row_id", T.LongType()), *RAW_CLICKSTREAM.fields])
+
 REQUIRED_COLUMNS = [
     "event_time",
     "event_type",

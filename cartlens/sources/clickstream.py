@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from cartlens.functions.ordered import running_sums
 from cartlens.functions.rules import not_null
-from cartlens.schema import CLICKSTREAM
+from cartlens.schema import CLICKSTREAM, RAW_CLICKSTREAM
 
 STAR_EVENTS = T.StructType(
     [
@@ -31,11 +31,23 @@ STAR_PARTS = T.StructType(
 EVENT_NAMES = {"click": "cart", "error": "remove_from_cart"}
 
 
-def read_clickstream(spark, path, schema=CLICKSTREAM):
-    """Parquet events with a declared schema, so that no footer is read to infer one."""
+def read_clickstream(spark, path, schema=RAW_CLICKSTREAM):
+    """Parquet events with a declared schema, so that no footer is read to infer one.
+
+    Pass ``CLICKSTREAM`` for a table that has row keys.
+    """
     return spark.read.schema(schema).parquet(path)
 
 
+def with_row_ids(df):
+    """Number the rows from 1 in the order of all their columns, as ``row_id``.
+
+    The numbers depend on the rows alone, not on their storage; equal rows get different ones.
+    """
+    ranked = running_sums(df, [F.col(c) for c in df.columns], {"row_id": F.lit(1)})
+    return ranked.select("row_id", *df.columns)
+
+
 def adapt_events(events, parts):
     """Clickstream columns from an event stream and a product table."""
     event_type = F.col("event_type")
@@ -97,7 +109,10 @@ def load_clickstream(df, k=10, limit=None):
     # At most k rows, by the limit above.
     frequent = F.broadcast(top_categories(df, k).select("category_code"))
     loaded = df.where(not_null(df)).join(frequent, "category_code", "left_semi").select(*df.columns)
-    return loaded if limit is None else first_rows(loaded, limit)
+    if limit is None:
+        return loaded
+    keyed = loaded if "row_id" in df.columns else with_row_ids(loaded)
+    return first_rows(keyed, limit).select(*df.columns)
 
 
 def column_inventory(df):

@@ -11,8 +11,8 @@ from cartlens.operators import cleaning
 from cartlens.operators.encoding import category_dictionary, with_category_codes
 from cartlens.operators.segments import rfm_segments, segment_sizes, with_zscores
 from cartlens.plans.model_frame import featured_carts, model_frame
-from cartlens.schema import FEATURES, RFM_COLUMNS
-from cartlens.sources.clickstream import load_clickstream, read_clickstream
+from cartlens.schema import CLICKSTREAM, FEATURES, RFM_COLUMNS
+from cartlens.sources.clickstream import load_clickstream, read_clickstream, with_row_ids
 
 T0 = datetime(2024, 1, 5, 23, 59)  # a Friday
 
@@ -61,7 +61,7 @@ def test_load_keeps_frequent_categories_without_nulls(events, spark, tmp_path):
     assert load_clickstream(events, k=10).where("category_code is null").count() == 0
     assert load_clickstream(events, k=10, limit=2).count() == 2
     events.write.parquet(str(tmp_path / "e"))
-    assert read_clickstream(spark, str(tmp_path / "e")).schema == events.schema
+    assert read_clickstream(spark, str(tmp_path / "e"), CLICKSTREAM).schema == events.schema
 
 
 def test_weekend_starts_on_saturday(events):
@@ -182,6 +182,19 @@ def test_model_frame_columns_ranges_and_rows(random_events):
     assert quarantined_rows(frame, processed_rules()).count() == 0
 
 
+def test_raw_table_without_row_keys(random_events, spark, tmp_path):
+    raw = random_events.drop("row_id")
+    raw.unionAll(raw.where("price > 500")).write.parquet(str(tmp_path / "raw"))
+    events = read_clickstream(spark, str(tmp_path / "raw"))
+    frame = model_frame(events)
+    assert frame.select("row_id").distinct().count() == frame.count()
+    assert frame.count() == raw.distinct().where("event_type = 'cart'").count()
+    assert load_clickstream(events, limit=7).count() == 7
+    numbered = with_row_ids(events)
+    again = with_row_ids(events.repartition(3))
+    assert sorted(numbered.collect()) == sorted(again.collect())
+
+
 def test_hot_user_and_session_change_nothing(random_events, monkeypatch):
     from cartlens.functions import skew
     from cartlens.plans import model_frame as M

@@ -143,6 +143,7 @@ def test_out_of_fold_scores_cover_every_row(frame):
     summary = found["summary"].first()
     best = C.best_threshold(found["scores"]).first()
     assert summary["optimal_threshold"] == best["threshold"]
+    assert summary["mean_trees"] == 2.0
 
 
 def test_attributions_add_up_to_the_log_odds(frame, model):

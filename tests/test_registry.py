@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_oracles import TABLES, compare  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
-from cartlens.schema import FEATURES  # noqa: E402
+from cartlens.schema import CLICKSTREAM, FEATURES  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 SQL = oracle_sql()
@@ -56,7 +56,8 @@ def test_cart_filter_reaches_the_scan(spark):
 
     path = scratch_path(spark, "plan")
     star_clickstream(spark, SF_DIR).write.parquet(path)
-    plan = _plan(cart_events(read_clickstream(spark, path)).select("row_id"))
+    stored = read_clickstream(spark, path, CLICKSTREAM)
+    plan = _plan(cart_events(stored).select("row_id"))
     assert "EqualTo(event_type,cart)" in plan
-    cleaned = _plan(drop_null_rows(read_clickstream(spark, path)))
+    cleaned = _plan(drop_null_rows(stored))
     assert "PushedFilters: [IsNotNull(" in cleaned
