@@ -27,8 +27,8 @@ def gain_curve(curve):
 def _lift_at(scored, curve, cut_rows):
     """Gain and lift in the first ``cut`` rows by falling score, then rising ``row_id``.
 
-    ``cut_rows`` maps ``(label column value)`` to a cut expression over ``total_n``.  A cut
-    falls inside at most one group of equal scores, and only rows of those groups are ranked.
+    ``cut_rows`` lists ``(share, cut)`` pairs, the cut being an expression over ``total_n``.  A
+    cut falls inside at most one group of equal scores, and only rows of those groups are ranked.
     """
     group = F.struct("cum_n", "cum_pos", "n", "pos", "probability")
     picks = [

@@ -103,8 +103,9 @@ def boosted_trees(**params):
 def fit_model(train, validation=None, early_stop_tolerance=0.01, **params):
     """Feature pipeline and boosted trees as one ``PipelineModel``.
 
-    ``train`` is read several times: pass a stored frame.  With ``validation``, boosting stops when the loss on those rows no longer falls by
-    ``early_stop_tolerance``; the feature pipeline still learns from ``train`` alone.
+    ``train`` is read several times: pass a stored frame.  With ``validation``, boosting stops
+    when the loss on those rows no longer falls by ``early_stop_tolerance``; the feature
+    pipeline still learns from ``train`` alone.
     """
     prepared = feature_pipeline(train)
     rows = with_class_weight(train)
@@ -138,7 +139,8 @@ def search(train, grid=None, n_iter=None, folds=3, parallelism=4, seed=42, **par
     """Cross-validated search by ROC AUC: the whole grid, or ``n_iter`` random settings.
 
     Returns the best ``PipelineModel`` and the tried settings as ``[(setting, mean_auc)]``;
-    the earlier setting wins ties.  The feature pipeline is fitted once, on all of ``train``: scaling moves no tree split.
+    the earlier setting wins ties.  The feature pipeline is fitted once, on all of ``train``:
+    scaling moves no tree split.
     """
     prepared = feature_pipeline(train)
     folded = materialise(

@@ -56,7 +56,7 @@ def features(spark, sf_dir):
     return featured_carts(clicks(spark, sf_dir)).select("row_id", "user_id", *names)
 
 
-def test_probability(label):
+def stand_in_probability(label):
     """A stand-in for a model score, with ties and values on the edges of bins."""
     parts = (
         F.pmod(F.col("row_id") * 7919, F.lit(800))
@@ -72,7 +72,7 @@ def scored(spark, sf_dir):
     return carts.select(
         "row_id",
         F.col("target").alias("label"),
-        test_probability(F.col("target")).alias("probability"),
+        stand_in_probability(F.col("target")).alias("probability"),
         "price",
         "hour",
     )

@@ -23,7 +23,7 @@ from cartlens.registry.base import (
     register,
     rounded,
     scored,
-    test_probability,
+    stand_in_probability,
     with_time_text,
 )
 from cartlens.registry.events import EVENT_COLUMNS, _FRAME_SQL
@@ -315,7 +315,7 @@ FROM (SELECT row_id, (row_id * 7919 % 800 + least(CAST(floor(price) AS BIGINT),
 )
 def stream_scores(spark, sf_dir):
     valid = valid_rows(_stream(spark, sf_dir), raw_rules())
-    scores = valid.select("row_id", test_probability(F.lit(0)).alias("probability"))
+    scores = valid.select("row_id", stand_in_probability(F.lit(0)).alias("probability"))
     return _run(spark, scoring.with_decision(scores), "stream-scores")
 
 

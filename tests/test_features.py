@@ -11,7 +11,7 @@ from cartlens.operators import cleaning
 from cartlens.operators.encoding import category_dictionary, with_category_codes
 from cartlens.operators.segments import rfm_segments, segment_sizes, with_zscores
 from cartlens.plans.model_frame import featured_carts, model_frame
-from cartlens.schema import CLICKSTREAM, FEATURES, RFM_COLUMNS
+from cartlens.schema import CLICKSTREAM, FEATURES
 from cartlens.sources.clickstream import load_clickstream, read_clickstream, with_row_ids
 
 T0 = datetime(2024, 1, 5, 23, 59)  # a Friday

@@ -73,7 +73,8 @@ def test_raw_rules(random_events):
 
 def test_counts_cover_all_rows(random_events):
     halved = random_events.withColumn("price", F.when(F.col("row_id") % 2 == 0, F.col("price")))
-    counts = {r["rule"]: (r["n_rows"], r["n_broken"]) for r in violation_counts(halved, raw_rules()).collect()}
+    found = violation_counts(halved, raw_rules()).collect()
+    counts = {r["rule"]: (r["n_rows"], r["n_broken"]) for r in found}
     assert counts["price_positive"] == (400, 200)
     assert counts["event_type"] == (400, 0)
 
