@@ -1,6 +1,7 @@
 """The registered queries of the operators, and the SQL of those that SQL can express."""
 
-from cartlens.llm import toxicity
+import corpus_pipeline
+from cartlens.llm import decontam, line_dedup, mixing, simhash, toxicity
 from cartlens.llm.common import table
 
 QUERIES = {}
@@ -16,6 +17,34 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+@register
+def op1_decontamination(spark, sf_dir):
+    return decontam.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.query(documents(spark, sf_dir))
+
+
+@register
+def op7_mixing(spark, sf_dir):
+    return mixing.query(documents(spark, sf_dir))
+
+
+ORACLES["op7_mixing"] = mixing.SQL
+
+
 @register
 def op8_toxicity(spark, sf_dir):
     return toxicity.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_simhash(spark, sf_dir):
+    return simhash.query(documents(spark, sf_dir))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
