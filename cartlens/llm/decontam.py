@@ -231,6 +231,16 @@ HIT = T.ArrayType(
 )
 
 
+def _searcher(items, threshold, overlap):
+    @F.pandas_udf(HIT)
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(items.value)
+        for texts in batches:
+            yield pd.Series([index.leaks(t, threshold, overlap) for t in texts], dtype=object)
+
+    return search
+
+
 def with_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
     """``docs`` with ``_leaks``, an array with one entry per leaked test item.
 
@@ -247,12 +257,7 @@ def with_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP, sha
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
         sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
 
-        @F.pandas_udf(HIT)
-        def search(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            index = Index(sent.value)
-            for texts in batches:
-                yield pd.Series([index.leaks(t, threshold, overlap) for t in texts], dtype=object)
-
+        search = _searcher(sent, threshold, overlap)
         found = found.withColumn(f"_leaks{shard}", search(F.col("text")))
         columns.append(f"_leaks{shard}")
     return found.withColumn("_leaks", F.flatten(F.array(*columns))).drop(*columns)
