@@ -36,32 +36,52 @@ def _line_id():
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")]
 
 
-def segment_keys(max_edits):
-    """SQL of the array ``(key, indexed)`` of a column ``line``.
+def segment_places(max_edits):
+    """``(shorter, segment, shift, indexed)`` of the keys that a line sends.
 
     ``indexed`` keys are the segments of the line itself.  The others are the places of a
     line at most ``max_edits`` shorter where one of its segments may stand, by the bounds from
     the left and the right end (Li, Deng, Wang and Feng, PVLDB 2011).  Equal lengths share the
     key of an unshifted segment, so that one is not sent twice.
     """
+    return [
+        (shorter, i, shift, shorter == 0 and shift == 0)
+        for shorter in range(max_edits + 1)
+        for i in range(max_edits + 1)
+        for shift in range(
+            max(-i, shorter - (max_edits - i)), min(i, shorter + (max_edits - i)) + 1
+        )
+    ]
+
+
+def _keyed(lines, max_edits):
+    """``key, indexed, h1, h2`` for every line and place; the key is one short expression."""
+    places = F.array(
+        *[
+            F.struct(
+                F.lit(shorter).alias("shorter"),
+                F.lit(i).alias("i"),
+                F.lit(shift).alias("shift"),
+                F.lit(indexed).alias("indexed"),
+            )
+            for shorter, i, shift, indexed in segment_places(max_edits)
+        ]
+    )
     parts = max_edits + 1
-    keys = []
-    for shorter in range(max_edits + 1):
-        size = f"(n - {shorter})"
-        for i in range(parts):
-            longer = f"greatest(0, {i} - ({parts} - {size} % {parts}))"
-            start = f"({i} * ({size} div {parts}) + {longer})"
-            width = f"({size} div {parts} + if({i} >= {parts} - {size} % {parts}, 1, 0))"
-            low = max(-i, shorter - (max_edits - i))
-            high = min(i, shorter + (max_edits - i))
-            for shift in range(low, high + 1):
-                indexed = shorter == 0 and shift == 0
-                piece = f"substring(line, cast({start} + {shift} + 1 as int), cast({width} as int))"
-                key = f"named_struct('key', xxhash64({size}, {i}, {piece}), 'indexed', {str(indexed).lower()})"
-                if shift < 0:
-                    key = f"if({start} + {shift} >= 0, {key}, null)"
-                keys.append(key)
-    return f"array({', '.join(keys)})"
+    sent = lines.select("line", F.length("line").alias("n"), *_line_id()).select(
+        "line", "h1", "h2", "n", F.inline(places)
+    )
+    # The last segments of a length that does not divide evenly are one longer.
+    sent = sent.withColumn("size", F.col("n") - F.col("shorter")).selectExpr(
+        "line", "h1", "h2", "indexed", "i", "size",
+        f"cast(size / {parts} as int) as width", f"{parts} - size % {parts} as even", "shift",
+    )
+    sent = sent.withColumn(
+        "start", F.expr("i * width + greatest(0, i - even) + shift")
+    ).withColumn("width", F.expr("width + if(i >= even, 1, 0)"))
+    return sent.where("start >= 0").selectExpr(
+        "xxhash64(size, i, substring(line, start + 1, width)) as key", "indexed", "h1", "h2"
+    )
 
 
 def _let(name, value, body):
@@ -73,7 +93,7 @@ def edit_distance(a, b, most):
     """SQL of the edit distance of two lines, exact up to ``most`` and larger beyond.
 
     ``a`` is the longer one and at most ``most`` longer.  Both are expressions of structs with
-    ``chars`` (an array of characters) and ``n``.  The window of the bit vectors holds the
+    ``line`` and its length ``n``.  The window of the bit vectors holds the
     2 * most + 1 diagonals that matter and slides by one character per step (Hyyro, Nordic
     Journal of Computing 2003); it is worked out for one character of ``b`` after another.
     """
@@ -81,7 +101,7 @@ def edit_distance(a, b, most):
     top = 1 << _TOP
     start = sum(1 << (_TOP - i) for i in range(most + 1))
     equal = " | ".join(
-        f"if(get({a}.chars, j - {most} + {t}) = c, {1 << (_TOP - 2 * most + t)}L, 0L)"
+        f"if(get(long, j - {most} + {t}) = c, {1 << (_TOP - 2 * most + t)}L, 0L)"
         for t in range(2 * most + 1)
     )
     after = _let(
@@ -97,26 +117,23 @@ def edit_distance(a, b, most):
     )
     step = _let(
         "c",
-        f"get({b}.chars, j)",
+        "get(short, j)",
         _let(
             "eq",
             f"({equal})",
             _let("d0", f"(((((eq & s.vp) + s.vp) ^ s.vp) | eq | s.vn) & {ones}L)", after),
         ),
     )
-    return f"""aggregate(sequence(0, {b}.n - 1),
+    walk = f"""aggregate(sequence(0, {b}.n - 1),
         named_struct('vp', {start}L, 'vn', 0L, 'd', {most}), (s, j) -> {step}, s -> s.d)"""
+    return _let("long", f"split({a}.line, '')", _let("short", f"split({b}.line, '')", walk))
 
 
 def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
     """``a, b``: ids of two different lines within ``max_edits`` edits, each pair once."""
     spark = docs.sparkSession
     lines = lines_of(docs).where(F.length("line") >= min_chars)
-    keyed = (
-        lines.select("line", F.length("line").alias("n"), *_line_id())
-        .select("h1", "h2", F.expr(f"inline({segment_keys(max_edits)})"))
-        .where("key is not null")
-    )
+    keyed = _keyed(lines, max_edits)
     # Every repeat of a line merges into one row before the shuffle, so a frequent line is small.
     shared = materialise(
         keyed.groupBy("key")
@@ -146,7 +163,7 @@ def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
     texts = texts.select(
         "h1",
         "h2",
-        F.struct(F.split("line", "").alias("chars"), F.length("line").alias("n")).alias("text"),
+        F.struct("line", F.length("line").alias("n")).alias("text"),
         F.expr(
             "aggregate(split(line, ''), 0L, (s, c) -> s ^ shiftleft(1L, pmod(hash(c), 64)))"
         ).alias("parity"),
