@@ -12,6 +12,14 @@ def table(spark, sf_dir, name, *columns):
     return read.select(*columns) if columns else read
 
 
+def spare(df, name):
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column):
     """A-Z to a-z and nothing else, whatever the locale."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

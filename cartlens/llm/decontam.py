@@ -241,8 +241,8 @@ def _searcher(items, threshold, overlap):
     return search
 
 
-def with_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
-    """``docs`` with ``_leaks``, an array with one entry per leaked test item.
+def leaks(spark, text, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
+    """A column: the array with one entry per test item that the column ``text`` leaks.
 
     The items go into as many shards as their characters need, so a task holds one index of at
     most about ``shard_chars`` characters at a time whatever the number of items; every shard
@@ -251,16 +251,13 @@ def with_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP, sha
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_chars))
-    found = docs
     columns = []
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
         sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
 
-        search = _searcher(sent, threshold, overlap)
-        found = found.withColumn(f"_leaks{shard}", search(F.col("text")))
-        columns.append(f"_leaks{shard}")
-    return found.withColumn("_leaks", F.flatten(F.array(*columns))).drop(*columns)
+        columns.append(_searcher(sent, threshold, overlap)(text))
+    return F.flatten(F.array(*columns))
 
 
 def query(spark, docs, benchmark):
@@ -268,8 +265,8 @@ def query(spark, docs, benchmark):
 
     Documents without a leak have no row; repeated documents each have theirs.
     """
-    found = with_leaks(spark, docs.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", F.explode("_leaks").alias("leak")).select(
+    found = docs.select("doc_id", leaks(spark, F.col("text"), benchmark).alias("leaks"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id",
         "leak.item_id",
         F.round("leak.score", 6).alias("score"),
@@ -280,6 +277,5 @@ def query(spark, docs, benchmark):
 
 
 def drop_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP):
-    """The documents without a leaked item; all their columns pass through."""
-    found = with_leaks(spark, docs, benchmark, threshold, overlap)
-    return found.where(F.size("_leaks") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows without a leaked item; all their columns pass through."""
+    return docs.where(F.size(leaks(spark, F.col("text"), benchmark, threshold, overlap)) == 0)

@@ -10,7 +10,7 @@ to a comparison, which is a banded bit-parallel edit distance on the lines thems
 
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import components
+from cartlens.llm.common import components, spare
 from cartlens.session import materialise
 
 MIN_CHARS = 20
@@ -303,18 +303,18 @@ def drop_repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
     A document of which nothing but blanks remains is left out if it lost a line.  All other
     columns pass through.
     """
-    found = repeated_lines(docs, max_edits, min_chars).select("doc_id", F.col("dropped").alias("_dropped"))
-    numbers = "array_except(sequence(0, size(l) - 1), _dropped)"
+    name = spare(docs, "_dropped")
+    found = repeated_lines(docs, max_edits, min_chars).select(
+        "doc_id", F.col("dropped").alias(name)
+    )
+    numbers = f"array_except(sequence(0, size(l) - 1), {name})"
     kept = F.expr(_let("l", "split(text, '\n')", f"transform({numbers}, i -> get(l, i))"))
+    whole = F.col(name).isNull()
     joined = docs.join(found, "doc_id", "left").withColumn(
-        "text", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+        "text", F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n"))
     )
-    joined = joined.where(F.col("_dropped").isNull() | (F.length(F.btrim("text", F.lit(" \n\t\r\x0b\x0c"))) > 0))
+    joined = joined.where(whole | (F.length(F.btrim("text", F.lit(" \n\t\r\x0b\x0c"))) > 0))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn(
-            "n_chars",
-            F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(
-                F.length("text").cast(docs.schema["n_chars"].dataType)
-            ),
-        )
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(length))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

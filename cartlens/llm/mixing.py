@@ -8,6 +8,7 @@ distribution of the source, so it is the same on every run and for every layout.
 
 from pyspark.sql import functions as F
 
+from cartlens.llm.common import spare
 from cartlens.session import materialise
 
 SEED = 17
@@ -67,39 +68,49 @@ def cumulative_poisson(rate):
         s -> s.cdf))"""
 
 
-def copy_counts(docs, weights=None, temperature=TEMPERATURE, size="chars", seed=SEED):
-    """``docs`` with ``_copies``: how often each document is repeated, perhaps never.
+def copy_counts(docs, weights=None, temperature=TEMPERATURE, size="chars", seed=SEED, name="copies"):
+    """``docs`` with ``name``: how often each document is repeated, perhaps never.
 
     A row without ``doc_id`` draws by its text instead.  Rows that share an id (or, without
     one, a text) draw the same number.
     """
     rates = source_rates(docs, weights, temperature, size)
+    key, cdf, salt = (spare(docs, c) for c in ("_source", "_cdf", "_salt"))
     curves = materialise(
-        rates.select(F.col("source").alias("_source"), F.expr(cumulative_poisson("rate")).alias("_cdf")),
+        rates.select(
+            F.col("source").alias(key), F.expr(cumulative_poisson("rate")).alias(cdf)
+        ),
         "source-curves",
     )
-    rows = docs.withColumn("_source", F.coalesce("source", F.lit("")))
+    rows = docs.withColumn(key, F.coalesce("source", F.lit("")))
     if curves.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(curves), "_source")
+        joined = rows.join(F.broadcast(curves), key)
     else:  # a large source is spread over salts, the curve of a source is repeated for each
-        salted = curves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("_salt", salt).join(salted, ["_source", "_salt"])
+        salted = curves.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn(salt, spread).join(salted, [key, salt])
     draw = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
-    return joined.withColumn("_draw", draw).withColumn(
-        "_copies", F.expr("size(filter(_cdf, p -> p <= _draw))").cast("long")
+    # The draw comes first in its lambda, so it is worked out once.
+    count = F.transform(F.array(draw), lambda u: F.size(F.filter(cdf, lambda p: p <= u)))[0]
+    return joined.withColumn(name, count.cast("long")).select(
+        *[F.col(f"`{c}`") for c in docs.columns], name
     )
 
 
 def mix(docs, weights=None, temperature=TEMPERATURE, size="chars", seed=SEED):
-    """The mixed corpus: each document ``_copies`` times with ``copy`` from 0, shuffled globally.
+    """The mixed corpus: each document as often as it drew, with ``copy`` from 0, shuffled.
 
     ``shuffle_key`` is a hash of id, copy and seed.  Rows go to partitions by it and are sorted
     by it there, so the order has nothing to do with source or input order, copies of one
-    document lie apart, and no sample of the data is needed to find ranges.
+    document lie apart, and no sample of the data is needed to find ranges.  Columns of the
+    input called ``copy`` or ``shuffle_key`` give way.
     """
-    counted = copy_counts(docs, weights, temperature, size, seed).where("_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    docs = docs.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    )
+    copies = spare(docs, "_copies")
+    counted = copy_counts(docs, weights, temperature, size, seed, copies).where(F.col(copies) > 0)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))
     key = F.md5(
         F.concat_ws(
             "/",
@@ -109,7 +120,8 @@ def mix(docs, weights=None, temperature=TEMPERATURE, size="chars", seed=SEED):
         )
     )
     return (
-        copies.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "shuffle_key")], "copy", key.alias("shuffle_key"))
+        counted.withColumn("copy", each)
+        .select(*[F.col(f"`{c}`") for c in docs.columns], "copy", key.alias("shuffle_key"))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )

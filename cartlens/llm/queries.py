@@ -1,7 +1,18 @@
 """The registered queries of the operators, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from cartlens.llm import decontam, line_dedup, mixing, simhash, toxicity
+from cartlens.llm import (
+    compression_quality,
+    decontam,
+    license_scan,
+    line_dedup,
+    mixing,
+    pii,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from cartlens.llm.common import table
 
 QUERIES = {}
@@ -22,11 +33,34 @@ def op1_decontamination(spark, sf_dir):
     return decontam.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op2_pii(spark, sf_dir):
+    return pii.query(documents(spark, sf_dir))
+
+
 @register
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.query(documents(spark, sf_dir))
 
 
+@register
+def op4_compression_quality(spark, sf_dir):
+    return compression_quality.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@register
+def op5_url_filter(spark, sf_dir):
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_url_filter"] = url_filter.SQL
+
+
+@register
+def op6_license_scan(spark, sf_dir):
+    return license_scan.query(documents(spark, sf_dir))
+
+
 @register
 def op7_mixing(spark, sf_dir):
     return mixing.query(documents(spark, sf_dir))
@@ -40,6 +74,11 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.query(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@register
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.query(documents(spark, sf_dir))
+
+
 @register
 def op10_simhash(spark, sf_dir):
     return simhash.query(documents(spark, sf_dir))

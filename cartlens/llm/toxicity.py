@@ -340,11 +340,6 @@ def scorer(spark, model):
     return score
 
 
-def score_documents(spark, docs, model):
-    """``docs`` with the struct ``_toxicity``; other columns stay in the JVM."""
-    return docs.withColumn("_toxicity", scorer(spark, model)(F.col("text")))
-
-
 def query(spark, docs, labels):
     """One row per document: held-out flag, score and prediction at 0.5.
 
@@ -352,20 +347,18 @@ def query(spark, docs, labels):
     Repeated rows each get their row.  Without labels every score is 0.5.
     """
     model = train(spark, docs, labels)
-    scored = score_documents(spark, docs.select("doc_id", "text"), model)
+    scored = docs.select("doc_id", scorer(spark, model)(F.col("text")).alias("found"))
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_toxicity.score").alias("score"),
-        (F.col("_toxicity.score") >= 0.5).cast("int").alias("predicted"),
-        F.col("_toxicity.n_hits").alias("n_hits"),
-        F.col("_toxicity.n_quoted").alias("n_quoted"),
+        F.col("found.score").alias("score"),
+        (F.col("found.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("found.n_hits").alias("n_hits"),
+        F.col("found.n_quoted").alias("n_quoted"),
     )
 
 
 def drop_toxic(spark, docs, labels, threshold=0.5):
-    """The documents whose score stays below ``threshold``, with their own columns only."""
+    """The rows whose score stays below ``threshold``; null and empty texts are not toxic."""
     model = train(spark, docs, labels)
-    return score_documents(spark, docs, model).where(
-        F.col("_toxicity.score") < threshold
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(scorer(spark, model)(F.col("text"))["score"] < threshold)
