@@ -1,7 +1,7 @@
 """Time the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; print one JSON line.
 
 Every query runs twice; its time is the shorter one, so that starting the JVM's compiler is not
-counted for whichever query comes first.
+counted for whichever query comes first.  Queries that fit a model count with their first run.
 """
 
 import json
@@ -40,7 +40,17 @@ HEADLINE = [
     "drift_report",
     "revenue_lift",
     "stream_scores",
+    # The model path; ``boosted_tree_scores`` includes frame, split and fit on its first run.
+    "rfm_segments",
+    "boosted_tree_scores",
+    "attributions",
+    "recommendation_report",
+    "batch_scores",
+    "grid_search",
+    "out_of_fold_scores",
 ]
+# Fits are kept for the session, so the first of two runs is the one that counts.
+FITTED = {"boosted_tree_scores", "grid_search", "out_of_fold_scores"}
 
 
 def main():
@@ -60,7 +70,8 @@ def main():
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took = round(time.perf_counter() - start, 3)
-        times[name] = min(took, times.get(name, took))
+        kept = times.get(name, took)
+        times[name] = kept if name in FITTED else min(took, kept)
     print(
         json.dumps(
             {

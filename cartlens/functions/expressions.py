@@ -68,3 +68,8 @@ def stable_hash(key, seed):
     """A 60-bit integer from the key and the seed, the same on every layout and engine."""
     digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def hash_share(df, share, key, seed):
+    """About ``share`` of the rows, always the same ones: those with small hashes of ``key``."""
+    return df.where(stable_hash(key, seed) < F.lit(int(share * 2**60)))

@@ -1,24 +1,54 @@
 """Global order without a global task.
 
 A window without PARTITION BY sends every row to one task, and a window partitioned by a
-hot key does nearly the same.  Here the rows are range-partitioned on a total order, tagged
-with their partition number and checkpointed, so that the tag survives the loss of an
-executor.  What one partition must know of the partitions before it is one row per
-partition: that table is bounded by ``spark.sql.shuffle.partitions`` and is broadcast.
+hot key does nearly the same.  Here the rows are stored once, cut points of the order come from
+a small sample of them, and each row looks up its part among the cut points.  The window over
+the part is then the only shuffle of the rows.  What one part must know of the parts before it
+is one row per part: that table is bounded by ``spark.sql.shuffle.partitions`` and is broadcast.
+Orders are rising; give a number with a minus sign for a falling one.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cartlens.session import ensure_checkpoint_dir
+from cartlens.session import materialise
 
 _PART = "_part"
+# Rows in the sample per cut point.
+SAMPLED = 32
 
 
 def lay_out(df, order):
-    """Range-partition ``df`` on ``order``; add the partition number as ``_part``."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()).checkpoint()
+    """The stored rows of ``df`` with ``_part``, which rises with ``order`` (a total order).
+
+    The table is written once, so that a row is the same each time it is read, and so is its
+    part.  The sample is a share of the rows by a hash of their place in the order.
+    """
+    stored = materialise(df, "ordered")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*[F.col(o).alias(f"k{i}") if isinstance(o, str) else o.alias(f"k{i}") for i, o in enumerate(order)])
+    every = stored.count() // (parts * SAMPLED) + 1  # from the footers
+    sample = stored.select(place.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0)
+    found = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))
+    cuts = found.select(
+        F.expr(
+            f"if(size(s) = 0 or {parts} < 2, slice(s, 1, 0), transform(sequence(1, greatest({parts} - 1, 1)),"
+            f" i -> get(s, cast(i * size(s) / {parts} as int))))"
+        ).alias("_cuts")
+    )
+    # Binary search for the number of cut points at or below the row.
+    strides = F.array(*[F.lit(2**i) for i in reversed(range(parts.bit_length()))])
+
+    def further(low, stride):
+        reached = F.get("_cuts", low + stride - 1) <= F.col("_place")
+        return F.when((low + stride <= F.size("_cuts")) & reached, low + stride).otherwise(low)
+
+    return (
+        stored.withColumn("_place", place)
+        .crossJoin(F.broadcast(cuts))  # one row, of at most one cut point per part
+        .withColumn(_PART, F.aggregate(strides, F.lit(0), further))
+        .drop("_place", "_cuts")
+    )
 
 
 def stable_layout(df, key):
@@ -96,56 +126,101 @@ def previous_value(df, keys, order, value, name):
     )
 
 
-def value_ranks(df, columns):
-    """Distinct values of several columns with their place among all values of the column.
+# Ranks of the sketch that brackets a quantile; a bracket reaches MARGIN of them to both sides.
+ACCURACY = 10_000
+MARGIN = 10
+
 
-    Columns: ``feature, value, n, rank, total, mean``, where ``rank`` counts the values up to
-    and with this one, and ``total`` and ``mean`` are those of the whole column.  Values are
-    doubles; nulls are left out.  The table is checkpointed, so ``df`` is read once.
+def exact_quantiles(df, columns, probabilities):
+    """Exact, linearly interpolated quantiles of several columns: ``feature, q0..qk``.
+
+    The built-in ``percentile`` keeps all distinct values of a group in one buffer.  Here a
+    bounded sketch brackets each quantile, one pass counts what lies below the bracket, and only
+    the values inside, about one row in five hundred, are put in order.
     """
-    tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "feature", "value"
+    stored = materialise(
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "quantile-columns"
     )
-    counted = tall.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("n")
+    around = [
+        min(1.0, max(0.0, p + side * MARGIN / ACCURACY)) for p in probabilities for side in (-1, 1)
+    ]
+    sketched = stored.agg(
+        *[F.percentile_approx(c, around, ACCURACY).alias(f"e{i}") for i, c in enumerate(columns)],
+        *[F.struct(F.min(c), F.max(c)).alias(f"m{i}") for i, c in enumerate(columns)],
     )
-    ranked = running_sums(counted, [F.col("feature"), F.col("value")], {"upto": "n"})
-    sizes = ranked.groupBy("feature").agg(
-        F.min(F.col("upto") - F.col("n")).alias("base"),
-        F.sum("n").alias("total"),
-        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+    edges = sketched.select(F.struct(*sketched.columns).alias("e")).scalar()
+
+    def bracket(i, k):
+        low, high = (edges.getField(f"e{i}")[2 * k + side] for side in (0, 1))
+        # At the ends the sketch may miss the outermost value.
+        low = edges.getField(f"m{i}")["col1"] if around[2 * k] == 0 else low
+        return low, edges.getField(f"m{i}")["col2"] if around[2 * k + 1] == 1 else high
+
+    pairs = [(i, k) for i in range(len(columns)) for k in range(len(probabilities))]
+    counted = stored.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.count_if(F.col(columns[i]) < bracket(i, k)[0]).alias(f"b{i}_{k}") for i, k in pairs],
+        # The neighbours outside: in a short column the bracket may be one value too narrow.
+        *[
+            F.max(F.when(F.col(columns[i]) < bracket(i, k)[0], F.col(columns[i]))).alias(f"u{i}_{k}")
+            for i, k in pairs
+        ],
+        *[
+            F.min(F.when(F.col(columns[i]) > bracket(i, k)[1], F.col(columns[i]))).alias(f"a{i}_{k}")
+            for i, k in pairs
+        ],
     )
-    # One row per column name: bounded by the width of the table.
-    return ranked.join(F.broadcast(sizes), "feature").select(
-        "feature", "value", "n", (F.col("upto") - F.col("base")).alias("rank"), "total", "mean"
+    counts = counted.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("i"), F.lit(k).alias("k"),
+                        F.col(f"n{i}").alias("total"), F.col(f"b{i}_{k}").alias("below"),
+                        F.col(f"u{i}_{k}").alias("under"), F.col(f"a{i}_{k}").alias("above"),
+                    )
+                    for i, k in pairs
+                ]
+            )
+        )
+    )
+    inside = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(columns[i]).between(*bracket(i, k)),
+                    F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(columns[i]).alias("value")),
+                )
+                for i, k in pairs
+            ]
+        )
     )
-
-
-def quantiles_of_ranks(ranks, probabilities, *also):
-    """Linearly interpolated quantiles ``q0..qk`` per feature, and more aggregates if given."""
-    last = F.col("total") - 1
-    picks = []
-    for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * last
-        picks += [
-            F.min(F.when(F.col("rank") > F.floor(position), F.col("value"))).alias(f"lo{i}"),
-            F.min(F.when(F.col("rank") > F.ceil(position), F.col("value"))).alias(f"hi{i}"),
-            F.max(position - F.floor(position)).alias(f"part{i}"),
+    values = stored.select(F.inline(inside)).groupBy("i", "k", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    ranked = running_sums(values, [F.col("i"), F.col("k"), F.col("value")], {"upto": "n"})
+    starts = ranked.groupBy("i", "k").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
+    placed = ranked.join(F.broadcast(starts), ["i", "k"]).join(F.broadcast(counts), ["i", "k"])
+    share = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("k") + 1)
+    position = share * (F.col("total") - 1)
+    rank = F.col("below") + F.col("upto") - F.col("start")
+
+
+    def value_at(index):
+        inside = F.min(F.when(rank > index, F.col("value")))
+        return F.when(F.max("below") > F.max(index), F.max("under")).otherwise(
+            F.coalesce(inside, F.max("above"))
+        )
+
+    found = placed.groupBy("i", "k").agg(
+        value_at(F.floor(position)).alias("lo"),
+        value_at(F.ceil(position)).alias("hi"),
+        F.max(position - F.floor(position)).alias("part"),
+    )
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return found.groupBy(name.alias("feature")).agg(
+        *[
+            F.max(F.when(F.col("k") == k, at)).alias(f"q{k}") for k in range(len(probabilities))
         ]
-    found = ranks.groupBy("feature").agg(*picks, *also)
-    quantiles = [
-        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}")
-        for i in range(len(probabilities))
-    ]
-    extra = found.columns[1 + len(picks) :]
-    return found.select("feature", *quantiles, *extra)
-
-
-def exact_quantiles(df, columns, probabilities):
-    """Exact, linearly interpolated quantiles of several columns: ``feature, q0..qk``.
-
-    The built-in ``percentile`` keeps all distinct values of a group in one buffer.  This
-    counts distinct values first, then looks up the two order statistics around each
-    position in the running counts.
-    """
-    return quantiles_of_ranks(value_ranks(df, columns), probabilities)
+    )

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 VIOLATIONS = "violations"
 
+# The event types that may occur.  The bounds in the rules below are fixed too.
+EVENT_TYPES = ("view", "cart", "purchase", "remove_from_cart")
+
 
 def _between(name, low, high=None):
     column = F.col(name)
@@ -18,7 +21,7 @@ def _between(name, low, high=None):
 def raw_rules():
     return {
         "event_time": F.col("event_time").isNotNull(),
-        "event_type": F.col("event_type").rlike("^(view|cart|purchase|remove_from_cart)$"),
+        "event_type": F.col("event_type").isin(*EVENT_TYPES),
         "product_id": F.col("product_id") > 0,
         "category_id": F.col("category_id") >= 0,
         "price_positive": F.col("price") > 0,

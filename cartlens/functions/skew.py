@@ -2,16 +2,19 @@
 
 from pyspark.sql import functions as F
 
-# The sketch reports every key with more than 1/HOT_KEYS of the rows, and never more than
-# HOT_KEYS keys whatever the data: that bounds what reaches the driver and is broadcast.
-HOT_KEYS = 1_000
-TRACKED_KEYS = 10_000
+# The sketch tracks the most frequent keys, and never more than this whatever the data: that
+# bounds what reaches the driver and is broadcast.  A slice has the same size in every table.
+TRACKED_KEYS = 50_000
 MERGE_GROUPS = 256
-MIN_HOT_ROWS = 1_000_000
+SLICE_ROWS = 1_000_000
 
 
-def hot_keys(rows, keys, min_rows=MIN_HOT_ROWS):
-    """``{key: [(value, slices)]}`` for the values that hold too many rows for one task.
+def hot_keys(rows, keys, slice_rows=SLICE_ROWS):
+    """``{key: [(value, slices)]}`` for the values that hold more than ``slice_rows`` rows.
+
+    This runs a job, also while a plan is being built: call it once per frame and hand the
+    result to every ``join_key_stats`` on it.  A stream can't be counted beforehand; hand an
+    empty result, or one from a table of the same kind.
 
     One pass with a frequent-items sketch per key; only sketches are shuffled, and they are
     merged in two steps, so that no task receives one from every other task.  The counts are
@@ -19,24 +22,19 @@ def hot_keys(rows, keys, min_rows=MIN_HOT_ROWS):
     """
     group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS))
     sketched = rows.groupBy(group.alias("_group")).agg(
-        F.count(F.lit(1)).alias("total"),
         *[F.expr(f"approx_top_k_accumulate({k}, {TRACKED_KEYS})").alias(k) for k in keys],
     )
     # A grouped merge, as the merge of no sketches at all fails.
     found = (
         sketched.groupBy(F.lit(0).alias("_all"))
-        .agg(
-            F.sum("total").alias("total"),
-            *[F.expr(f"approx_top_k_combine({k}, {TRACKED_KEYS})").alias(k) for k in keys],
-        )
+        .agg(*[F.expr(f"approx_top_k_combine({k}, {TRACKED_KEYS})").alias(k) for k in keys])
         .select(
-            "total", *[F.expr(f"approx_top_k_estimate({k}, {HOT_KEYS})").alias(k) for k in keys]
+            *[F.expr(f"approx_top_k_estimate({k}, {TRACKED_KEYS})").alias(k) for k in keys]
         )
         .first()
     )
     if found is None:
         return {k: [] for k in keys}
-    slice_rows = max(min_rows, -(-found["total"] // HOT_KEYS))
     return {
         k: [
             (item["item"], -(-item["count"] // slice_rows))

@@ -15,9 +15,10 @@ from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cartlens.functions.expressions import stable_hash
+from cartlens.functions.expressions import hash_share
 from cartlens.functions.ordered import exact_quantiles
 from cartlens.plans.training import feature_names
+from cartlens.session import materialise
 
 # Executors need not have this package installed: the functions of this module travel along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -144,14 +145,10 @@ def global_importance(explained, names, k=None):
     return table if k is None else table.limit(k)
 
 
-def beeswarm(explained, names, n=1000, seed=42):
-    """Value and contribution of every feature for a fixed random sample of ``n`` rows."""
-    sampled = (
-        explained.withColumn("_order", stable_hash("row_id", seed))
-        .orderBy("_order", "row_id")
-        .limit(n)
-    )
-    return tall_attributions(sampled, names)
+def beeswarm(explained, names, share=None, seed=42):
+    """Value and contribution of every feature, for every row or a repeatable ``share`` of them."""
+    rows = explained if share is None else hash_share(explained, share, "row_id", seed)
+    return tall_attributions(rows, names)
 
 
 def row_breakdown(explained, names, row_id):
@@ -172,7 +169,11 @@ def contribution_quantile(explained, names, feature="price", probability=0.95):
 
 
 def top_attribution_columns(explained, names, k=10):
-    """One column per feature for the ``k`` most important ones, a row per row."""
+    """One column per feature for the ``k`` most important ones, a row per row.
+
+    The attributions are stored, as they are read for the ranking and for the result.
+    """
+    explained = materialise(explained, "attributions")
     top = [row["feature"] for row in global_importance(explained, names, k).collect()]
     return explained.select(
         *[F.col("contributions")[names.index(f)].alias(f) for f in top]

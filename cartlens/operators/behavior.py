@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cartlens.functions import expressions as X
 from cartlens.functions.ordered import previous_value
 from cartlens.functions.skew import join_key_stats
+from cartlens.schema import RFM_COLUMNS
 
 MICROS = 1e6
 
@@ -63,36 +64,41 @@ def user_behavior(df):
     return user_sessions(df).groupBy("user_id").agg(*_behavior_columns())
 
 
-def last_event_time(df):
-    return df.agg(F.max("event_time").alias("last")).scalar()
-
-
-def rfm_columns(reference_time, purchases_only=False):
+def _rfm_columns(purchases_only):
     return [
-        X.elapsed_days(F.max("last_time"), reference_time).alias("recency"),
+        F.max("last_time").alias("_last"),
         F.count("user_session").alias("frequency"),
         F.sum("purchase_spend" if purchases_only else "spend").alias("monetary"),
     ]
 
 
+def _with_recency(users):
+    """Days from the last event of a user to one day after the last event of all users.
+
+    The latest time comes from the user table, so the events are not read for it once more.
+    """
+    latest = users.agg(F.max("_last").alias("latest"))
+    dated = users.crossJoin(F.broadcast(latest))  # one row
+    recency = X.elapsed_days("_last", F.col("latest") + F.expr("INTERVAL 1 DAY"))
+    return dated.withColumn("recency", recency).drop("_last", "latest")
+
+
 def rfm(df, purchases_only=False):
     """Recency, frequency and monetary value of each user.
 
     Recency counts whole days up to one day after the last event of all; monetary sums the
     price of every event unless ``purchases_only``.
     """
-    reference_time = last_event_time(df) + F.expr("INTERVAL 1 DAY")
-    return user_sessions(df).groupBy("user_id").agg(
-        *rfm_columns(reference_time, purchases_only)
-    )
+    users = user_sessions(df).groupBy("user_id").agg(*_rfm_columns(purchases_only))
+    return _with_recency(users).select("user_id", *RFM_COLUMNS)
 
 
 def user_profile(df, purchases_only=False):
     """Behaviour and RFM of each user from one aggregate."""
-    reference_time = last_event_time(df) + F.expr("INTERVAL 1 DAY")
-    return user_sessions(df).groupBy("user_id").agg(
-        *_behavior_columns(), *rfm_columns(reference_time, purchases_only)
+    users = user_sessions(df).groupBy("user_id").agg(
+        *_behavior_columns(), *_rfm_columns(purchases_only)
     )
+    return _with_recency(users)
 
 
 def session_stats(df):

@@ -113,7 +113,7 @@ def score_curve(scored, by=()):
     groups = scored.groupBy(*by, "probability").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos")
     )
-    order = [*[F.col(c) for c in by], F.desc("probability")]
+    order = [*[F.col(c) for c in by], -F.col("probability")]
     sums = {"cum_n": "n", "cum_pos": "pos"}
     if not by:
         return running_sums(
@@ -126,7 +126,8 @@ def score_curve(scored, by=()):
         F.sum("n").alias("total_n"),
         F.sum("pos").alias("total_pos"),
     )
-    return running.join(sizes, by).select(
+    # One row per fold or the like.
+    return running.join(F.broadcast(sizes), by).select(
         *by,
         "probability",
         "n",

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cartlens.functions.expressions import parsed_time
 from cartlens.functions.ordered import exact_quantiles
 from cartlens.functions.rules import not_null
 from cartlens.schema import REQUIRED_COLUMNS
@@ -11,7 +12,7 @@ def require_columns(df, columns=REQUIRED_COLUMNS):
     """Raise before any job runs when a column is missing."""
     missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"the events lack {', '.join(missing)}")
     return df
 
 
@@ -24,13 +25,24 @@ def drop_null_rows(df):
     return df.where(complete)
 
 
-def drop_duplicate_rows(df):
-    """One of each set of equal rows; they are equal in all columns, so any will do."""
-    return df.dropDuplicates()
+def drop_duplicate_rows(df, key="row_id"):
+    """One of each set of rows that are equal in all columns but ``key``: the smallest key stays."""
+    if key not in df.columns:
+        return df.dropDuplicates()
+    raw = [c for c in df.columns if c != key]
+    return df.groupBy(*raw).agg(F.min(key).alias(key)).select(*df.columns)
 
 
 def clean(df):
-    return drop_duplicate_rows(drop_null_rows(require_columns(df)))
+    """Complete, distinct rows; an ``event_time`` given as text is parsed first."""
+    return drop_duplicate_rows(drop_null_rows(with_parsed_time(require_columns(df))))
+
+
+def with_parsed_time(df, column="event_time"):
+    """``column`` as a timestamp; text that is no timestamp becomes null."""
+    if df.schema[column].dataType.typeName() != "string":
+        return df
+    return df.withColumn(column, parsed_time(column))
 
 
 def iqr_fences(df, column, reach=1.5):

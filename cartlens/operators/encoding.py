@@ -6,8 +6,10 @@ from cartlens.functions.expressions import UNKNOWN
 from cartlens.functions.ordered import running_sums
 from cartlens.functions.skew import hot_keys, join_key_stats
 
-# Some tens of megabytes: a fixed bound on what is broadcast.
-BROADCAST_ENTRIES = 500_000
+# Bytes of dictionary, over all columns, that are sent to every task; each entry counts its text
+# and a fixed share for its row.
+BROADCAST_BYTES = 32_000_000
+ENTRY_BYTES = 64
 
 
 def category_dictionary(df, columns):
@@ -31,15 +33,17 @@ def category_dictionary(df, columns):
 def with_category_codes(df, columns, dictionary=None, row_key="row_id"):
     """Replace each column by its code; a value the dictionary lacks gets null.
 
-    The entries are counted first: up to ``BROADCAST_ENTRIES`` per column the dictionary is
-    sent to the rows, above that the rows are shuffled, with hot values spread.
+    The dictionary is measured first: the smallest columns, up to ``BROADCAST_BYTES`` in
+    all, are sent to the rows; for the others the rows are shuffled, with hot values spread.
     """
     table = category_dictionary(df, columns) if dictionary is None else dictionary
-    entries = {
-        row["feature"]: row["count"]
-        for row in table.where(F.col("feature").isin(columns)).groupBy("feature").count().collect()
-    }
-    large = [c for c in columns if entries.get(c, 0) > BROADCAST_ENTRIES]
+    size = F.sum(F.octet_length("value") + ENTRY_BYTES)
+    sizes = table.where(F.col("feature").isin(columns)).groupBy("feature").agg(size.alias("size"))
+    large, sent = [], 0
+    for row in sorted(sizes.collect(), key=lambda r: r["size"]):  # one row per column
+        sent += row["size"]
+        if sent > BROADCAST_BYTES:
+            large.append(row["feature"])
     hot = hot_keys(df, large) if large else {}
     coded = df
     for column in columns:

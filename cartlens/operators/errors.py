@@ -17,7 +17,12 @@ def high_confidence_errors(scored, threshold=0.5, confidence=0.85):
 
 
 def cluster_errors(errors, k=3, seed=42, vector="features"):
-    """Add ``cluster`` by k-means on the feature vector of the trained pipeline."""
+    """Add ``cluster`` by k-means on the feature vector of the trained pipeline.
+
+    Without errors there is nothing to cluster, and the result is empty.
+    """
+    if errors.isEmpty():
+        return errors.withColumn("cluster", F.lit(0))
     model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(
         stable_layout(errors.select("row_id", vector), "row_id")
     )

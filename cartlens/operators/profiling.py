@@ -1,14 +1,13 @@
 """Counts, distributions and summaries of event and feature tables."""
 
-from itertools import combinations
+from functools import reduce
+from itertools import combinations_with_replacement
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
 
 from cartlens.functions.expressions import ratio
-from cartlens.functions.ordered import exact_quantiles, quantiles_of_ranks, value_ranks
+from cartlens.functions.ordered import exact_quantiles
+from cartlens.session import materialise
 
 
 def value_counts(df, column):
@@ -72,40 +71,27 @@ SUMMARY = ["feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 def feature_summary(df, columns, accuracy=None):
     """Count, mean, std, min, quartiles and max per numeric column.
 
-    Quartiles are exact, and everything then comes from the counts of distinct values, so
-    ``df`` is read once.  With ``accuracy`` the quartiles come from a bounded sketch, and
+    Quartiles are exact; the columns are stored once and read by column.  With ``accuracy`` the quartiles come from a bounded sketch, and
     nothing is sorted.
     """
     if accuracy:
         return _sketched_summary(df, columns, accuracy).select(*SUMMARY)
-    n, value = F.col("n"), F.col("value")
-    squares = F.sum(n * F.pow(value - F.col("mean"), 2))
-    found = quantiles_of_ranks(
-        value_ranks(df, columns),
-        QUARTILES,
-        F.sum("n").alias("count"),
-        F.max("mean").alias("mean"),
-        F.sqrt(F.try_divide(squares, F.sum("n") - 1)).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ).withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"})
-    # A column of nulls only has a count of 0 and no other measure.
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    return names.join(found, "feature", "left").withColumn(
-        "count", F.coalesce("count", F.lit(0))
-    ).select(*SUMMARY)
+    stored = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "summary")
+    quartiles = exact_quantiles(stored, columns, QUARTILES).withColumnsRenamed(
+        {"q0": "q25", "q1": "q50", "q2": "q75"}
+    )
+    measured = _measured(stored, columns, MEASURES)
+    # One row per column name: a column of nulls only has a count of 0 and no other measure.
+    return measured.join(F.broadcast(quartiles), "feature", "left").select(*SUMMARY)
 
 
-def _sketched_summary(df, columns, accuracy):
-    measures = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-        "quartiles": lambda c: F.percentile_approx(c, QUARTILES, accuracy),
-    }
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+MEASURES = {
+    "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max
+}
+
+
+def _measured(numeric, columns, measures):
+    """One row per column with the given aggregates, from one pass."""
     wide = numeric.agg(
         *[make(c).alias(f"{name}_{c}") for name, make in measures.items() for c in columns]
     )
@@ -115,53 +101,65 @@ def _sketched_summary(df, columns, accuracy):
         )
         for c in columns
     ]
-    return wide.select(F.inline(F.array(*rows))).withColumns(
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def _sketched_summary(df, columns, accuracy):
+    measures = {
+        **MEASURES,
+        "quartiles": lambda c: F.percentile_approx(c, QUARTILES, accuracy),
+    }
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return _measured(numeric, columns, measures).withColumns(
         {f"q{p}": F.col("quartiles")[i] for i, p in enumerate((25, 50, 75))}
     )
 
 
+# Pairs in one aggregate: generated code has a limit per method.
+PAIRS = 24
+
+
 def correlations(df, columns):
     """Pearson correlation of every ordered pair of columns: ``a, b, corr``.
 
-    Null where a column does not vary.  Without nulls in the table the whole matrix comes
-    from one vector aggregate; with nulls each pair uses the rows where both are present,
-    which takes one aggregate per pair and is slower.
+    A pair uses the rows where both are present; its correlation is null where one of them does
+    not vary.  The columns are stored once, and a few pairs at a time read only theirs.
     """
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    numeric.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        checked = numeric.agg(
-            F.count_if(F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))).alias(
-                "_nulls"
-            ),
-            *[F.var_pop(c).alias(c) for c in columns],
-        ).first()
-        varies = {c: bool(checked[c] and checked[c] > 0) for c in columns}
-        if checked["_nulls"] or not any(varies.values()):
-            found = _pairwise_correlations(numeric, columns)
-        else:
-            vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(numeric)
-            found = Correlation.corr(vectors, "v").first()[0].toArray().tolist()
-    finally:
-        numeric.unpersist()
-    cells = [
-        (a, b, found[i][j] if varies[a] and varies[b] else None)
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
-    # Width of the table squared.
-    return df.sparkSession.createDataFrame(cells, "a string, b string, corr double")
-
-
-def _pairwise_correlations(df, columns):
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(
-        F.count(F.lit(1)), *[F.corr(columns[i], columns[j]) for i, j in pairs]
-    ).first()
-    matrix = [[1.0] * len(columns) for _ in columns]
-    for (i, j), value in zip(pairs, row[1:]):
-        matrix[i][j] = matrix[j][i] = value
-    return matrix
+    stored = materialise(
+        df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlated-columns"
+    )
+    pairs = list(combinations_with_replacement(columns, 2))
+    parts = []
+    for start in range(0, len(pairs), PAIRS):
+        some = pairs[start : start + PAIRS]
+        wide = stored.agg(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(some)])
+        parts.append(
+            wide.select(
+                F.inline(
+                    F.arrays_zip(
+                        F.array(*[F.lit(a) for a, _ in some]).alias("a"),
+                        F.array(*[F.lit(b) for _, b in some]).alias("b"),
+                        F.array(*[F.col(f"c{i}") for i in range(len(some))]).alias("corr"),
+                    )
+                )
+            ).toDF("a", "b", "corr")
+        )
+    half = reduce(lambda x, y: x.unionByName(y), parts)
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    )
+    known = F.when((F.col("a") == F.col("b")) & F.col("corr").isNotNull(), 1.0).otherwise(
+        F.col("corr")
+    )
+    return half.select(known.alias("corr"), F.inline(both)).select("a", "b", "corr")
+
+
+def _corr(a, b):
+    """``corr`` that is null, and no error, where a column does not vary."""
+    spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(
+        F.when(F.col(a).isNotNull(), F.col(b))
+    )
+    return F.try_divide(F.covar_pop(a, b), spread)
 
 
 def histogram(df, column, bins=30):

@@ -4,7 +4,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from cartlens.functions.expressions import stable_hash
+from cartlens.functions.expressions import hash_share
 from cartlens.functions.ordered import stable_layout
 from cartlens.schema import RFM_COLUMNS
 from cartlens.session import materialise
@@ -57,12 +57,9 @@ def segment_sizes(segmented):
     )
 
 
-def rfm_scatter(segmented_users, n=1000, seed=42):
-    """Z-scored RFM and segment of a fixed random sample of ``n`` users."""
+def rfm_scatter(segmented_users, share=None, seed=42):
+    """Z-scored RFM and segment of every user, or of a repeatable ``share`` of them."""
     scaled = with_zscores(segmented_users, RFM_COLUMNS)
-    return (
-        scaled.withColumn("_order", stable_hash("user_id", seed))
-        .orderBy("_order", "user_id")
-        .limit(n)
-        .select("user_id", *[f"{c}_z" for c in RFM_COLUMNS], "rfm_segment")
-    )
+    if share is not None:
+        scaled = hash_share(scaled, share, "user_id", seed)
+    return scaled.select("user_id", *[f"{c}_z" for c in RFM_COLUMNS], "rfm_segment")

@@ -11,18 +11,16 @@ from cartlens.functions.ordered import running_sums
 
 
 def hash_sample(df, n, key="row_id", seed=42):
-    """``n`` rows, chosen by the smallest key hashes."""
-    return (
-        df.withColumn("_order", stable_hash(key, seed))
-        .orderBy("_order", key)
-        .limit(n)
-        .drop("_order")
-    )
+    """``n`` rows, chosen by the smallest key hashes; the rows stay where they are."""
+    keys = df.select(stable_hash(key, seed).alias("_order"), key)
+    ranked = running_sums(keys, [F.col("_order"), F.col(key)], {"_rank": F.lit(1)})
+    last = ranked.where(F.col("_rank") <= n).agg(F.max(F.struct("_order", key))).scalar()
+    return df.where(F.struct(stable_hash(key, seed).alias("_order"), F.col(key)) <= last)
 
 
 def _class_ranks(df, target, key, seed):
-    """Add the 0-based ``_rank`` of each row within its class and the class size ``_size``."""
-    hashed = df.withColumn("_order", stable_hash(key, seed))
+    """``target``, ``_order``, ``key`` with the 0-based ``_rank`` in the class and its ``_size``."""
+    hashed = df.select(target, stable_hash(key, seed).alias("_order"), key)
     ranked = running_sums(
         hashed, [F.col(target), F.col("_order"), F.col(key)], {"_upto": F.lit(1)}
     )
@@ -38,21 +36,36 @@ def _class_ranks(df, target, key, seed):
 def stratified_split(df, test=0.2, validation=0.25, target="target", key="row_id", seed=42):
     """Add ``split``: ``test`` of each class, then ``validation`` of what is left, then train.
 
-    Counts per class are rounded half up.
+    Counts per class are rounded half up.  Only target and key are ranked; the rows themselves
+    stay where they are and are compared with the place in the order where their class is cut.
     """
     n_test = F.floor(F.col("_size") * F.lit(test) + 0.5)
     n_validation = F.floor((F.col("_size") - n_test) * F.lit(validation) + 0.5)
-    ranked = _class_ranks(df, target, key, seed)
-    return ranked.select(
+    place = F.struct(F.col("_order").alias("o"), F.col(key).alias("k"))
+    # One row per class: the first places that are no longer test, and no longer validation.
+    cuts = _class_ranks(df, target, key, seed).groupBy(target).agg(
+        F.min(F.when(F.col("_rank") >= n_test, place)).alias("_test"),
+        F.min(F.when(F.col("_rank") >= n_test + n_validation, place)).alias("_validation"),
+    )
+    own = F.struct(stable_hash(key, seed).alias("o"), F.col(key).alias("k"))
+
+    def before(cut):
+        return F.col(cut).isNull() | (own < F.col(cut))
+
+    return df.join(F.broadcast(cuts), target, "left").select(
         *df.columns,
-        F.when(F.col("_rank") < n_test, "test")
-        .when(F.col("_rank") < n_test + n_validation, "validation")
+        F.when(before("_test"), "test")
+        .when(before("_validation"), "validation")
         .otherwise("train")
         .alias("split"),
     )
 
 
 def stratified_folds(df, k=5, target="target", key="row_id", seed=42):
-    """Add ``fold`` 0..k-1: sizes differ by one row at most within a class."""
+    """Add ``fold`` 0..k-1: sizes differ by one row at most within a class.
+
+    Only target and key are ranked; the fold is then joined to the rows by their key.
+    """
     ranked = _class_ranks(df, target, key, seed)
-    return ranked.select(*df.columns, (F.col("_rank") % k).cast("int").alias("fold"))
+    folds = ranked.select(key, (F.col("_rank") % k).cast("int").alias("fold"))
+    return df.join(folds, key).select(*df.columns, "fold")

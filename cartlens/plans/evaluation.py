@@ -15,14 +15,15 @@ from cartlens.operators.classification import (
     score_curve,
 )
 from cartlens.operators.splits import stratified_folds
-from cartlens.plans.training import fit_model, scored_set
+from cartlens.plans.training import PATIENCE, fit_model, scored_set
 from cartlens.session import materialise
 
 
-def out_of_fold_scores(frame, k=5, seed=42, early_stopping=False, **params):
+def out_of_fold_scores(frame, k=5, seed=42, patience=PATIENCE, **params):
     """Score every row by a model that was fitted on the other folds.
 
-    ``n_trees`` is the size of that model, which early stopping may cut.
+    ``n_trees`` is the size of that model, which early stopping on the held-out fold may cut;
+    ``patience=None`` turns that off.
 
     The folded frame and the scores are written out: each is read many times.
     """
@@ -31,7 +32,8 @@ def out_of_fold_scores(frame, k=5, seed=42, early_stopping=False, **params):
     for fold in range(k):
         train = folded.where(F.col("fold") != fold).drop("fold")
         held_out = folded.where(F.col("fold") == fold).drop("fold")
-        model = fit_model(train, held_out if early_stopping else None, **params)
+        checked = None if patience is None else held_out
+        model = fit_model(train, checked, patience, **params)
         kept = F.lit(model.stages[-1].getNumTrees)
         parts.append(
             scored_set(model, held_out).withColumns({"fold": F.lit(fold), "n_trees": kept})
@@ -43,7 +45,7 @@ def full_evaluation(frame, k=5, metric="f1", seed=42, **params):
     """Out-of-fold scores, their fold summary and the best threshold on them."""
     scores = out_of_fold_scores(frame, k, seed, **params)
     per_fold = fold_metrics(scores)
-    best = best_threshold(scores, metric)
+    best = materialise(best_threshold(scores, metric), "best-threshold")
     return {
         "scores": scores,
         "folds": per_fold,
@@ -51,9 +53,10 @@ def full_evaluation(frame, k=5, metric="f1", seed=42, **params):
             {
                 "optimal_threshold": best.select("threshold").scalar(),
                 "optimal_score": best.select("score").scalar(),
-            "mean_trees": scores.groupBy("fold").agg(F.max("n_trees").alias("n_trees")).agg(
-                F.avg("n_trees")
-            ).scalar(),
+                "mean_trees": scores.groupBy("fold")
+                .agg(F.max("n_trees").alias("n_trees"))
+                .agg(F.avg("n_trees"))
+                .scalar(),
             }
         ),
     }

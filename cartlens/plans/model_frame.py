@@ -15,7 +15,8 @@ from cartlens.sources.clickstream import with_row_ids
 def featured_carts(events, users=None):
     """Cart events with user, session and RFM features, text category and target.
 
-    The cart filter comes before the joins: only cart rows travel to the statistics.
+    The cart filter comes before the joins: only cart rows travel to the statistics, and only
+    sessions with a cart event get statistics.
     """
     users = B.user_profile(events) if users is None else users
     carts = B.with_category_parts(B.with_time_features(B.cart_events(events))).select(
@@ -23,7 +24,9 @@ def featured_carts(events, users=None):
     )
     hot = hot_keys(B.cart_events(events), ["user_id", "user_session"])
     with_users = join_key_stats(carts, users, "user_id", hot)
-    with_sessions = join_key_stats(with_users, B.session_stats(events), "user_session", hot)
+    wanted = B.cart_events(events).select("user_session").distinct()
+    sessions = B.session_stats(events.join(wanted, "user_session", "left_semi"))
+    with_sessions = join_key_stats(with_users, sessions, "user_session", hot)
     return with_sessions.withColumn(TARGET, F.col("has_purchase"))
 
 

@@ -6,6 +6,7 @@ from cartlens.functions.expressions import confidence_band, predicted_class
 from cartlens.functions.rules import quarantined_rows, request_rules, valid_rows
 from cartlens.plans.training import with_probability
 from cartlens.schema import FEATURES
+from cartlens.sources.artifacts import load_model
 
 DEFAULT_THRESHOLD = 0.5
 
@@ -35,6 +36,13 @@ def score(model, requests, threshold=DEFAULT_THRESHOLD):
     return with_decision(scored, threshold)
 
 
+def score_stored(spark, save_dir, requests):
+    """``score`` by the newest model of ``save_dir``, at the threshold stored with it."""
+    model, metadata = load_model(spark, save_dir)
+    stored = metadata["optimal_threshold"]
+    return score(model, requests, DEFAULT_THRESHOLD if stored is None else stored)
+
+
 def rejected(requests):
     """The other requests, with the rules they break."""
     return quarantined_rows(requests, request_rules())
@@ -43,5 +51,5 @@ def rejected(requests):
 def score_batch(model, requests, threshold=DEFAULT_THRESHOLD):
     """``score`` for a batch, which may not be empty."""
     if requests.isEmpty():
-        raise ValueError("Batch cannot be empty")
+        raise ValueError("there is nothing to score")
     return score(model, requests, threshold)

@@ -27,11 +27,11 @@ from cartlens.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET
 from cartlens.session import materialise
 
 WEIGHT = "_weight"
-IS_VALIDATION = "_is_validation"
 
-# The full search space, under the names of the Spark parameters.  Its 216
-# settings are for a cluster; SMALL_GRID is the default.
-FULL_GRID = {
+# The default search space, under the names of the Spark parameters, its number
+# of random draws and folds, and the rounds without gain that end boosting in cross-validation.
+# The 216 settings are work for a cluster; pass a grid of your own for less.
+GRID = {
     "stepSize": [0.01, 0.05, 0.1],
     "maxDepth": [3, 5, 7],
     "minInstancesPerNode": [1, 3, 5],
@@ -39,8 +39,12 @@ FULL_GRID = {
     "featureSubsetStrategy": ["0.8", "all"],
     "maxIter": [100, 200],
 }
-SMALL_GRID = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}
-DEFAULTS = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "seed": 42}
+DRAWS = 20
+SEARCH_FOLDS = 3
+PATIENCE = 20
+DEFAULTS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
+# More categories than this would make the feature vector, which the driver describes, too wide.
+MAX_CATEGORIES = 10_000
 
 
 def feature_stages(n_rows, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES):
@@ -73,6 +77,11 @@ def feature_stages(n_rows, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEA
 
 
 def feature_pipeline(train, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES):
+    """The fitted feature stages; refuses a column with more than ``MAX_CATEGORIES`` values."""
+    for column in categorical:
+        levels = train.select(column).distinct().limit(MAX_CATEGORIES + 1).count()
+        if levels > MAX_CATEGORIES:
+            raise ValueError(f"{column} has over {MAX_CATEGORIES} values, too many to one-hot encode")
     return Pipeline(stages=feature_stages(train.count(), numeric, categorical)).fit(train)
 
 
@@ -100,31 +109,50 @@ def boosted_trees(**params):
     )
 
 
-def fit_model(train, validation=None, early_stop_tolerance=0.01, **params):
+def _vectors(prepared, rows):
+    """Rows as the trees read them; a row without a weight counts once."""
+    if WEIGHT not in rows.columns:
+        rows = rows.withColumn(WEIGHT, F.lit(1.0))
+    return prepared.transform(rows).select("row_id", "features", TARGET, WEIGHT)
+
+
+def rounds_to_keep(losses, patience):
+    """Rounds up to the best loss, when boosting ends after ``patience`` rounds without gain."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_trees(learner, rows, held_out=None, patience=PATIENCE):
+    """Boosted trees on vectors; with ``held_out``, cut after ``patience`` rounds without gain.
+
+    All rounds are fitted, the loss on ``held_out`` is taken after each of them, and the rounds
+    to keep are fitted again, which gives the same trees.
+    """
+    rows = stable_layout(rows, "row_id")
+    model = learner.fit(rows)
+    if held_out is None:
+        return model
+    kept = rounds_to_keep(model.evaluateEachIteration(held_out), patience)
+    return model if kept == model.getNumTrees else learner.copy({learner.maxIter: kept}).fit(rows)
+
+
+def fit_model(train, validation=None, patience=PATIENCE, **params):
     """Feature pipeline and boosted trees as one ``PipelineModel``.
 
-    ``train`` is read several times: pass a stored frame.  With ``validation``, boosting stops
-    when the loss on those rows no longer falls by ``early_stop_tolerance``; the feature
+    ``train`` is read several times: pass a stored frame.  With ``validation``, boosting ends
+    after ``patience`` rounds in which the loss on those rows has not fallen; the feature
     pipeline still learns from ``train`` alone.
     """
     prepared = feature_pipeline(train)
-    rows = with_class_weight(train)
-    trees = boosted_trees(**params)
-    if validation is not None:
-        held_out = validation.withColumn(WEIGHT, F.lit(1.0)).withColumn(
-            IS_VALIDATION, F.lit(True)
-        )
-        rows = rows.withColumn(IS_VALIDATION, F.lit(False)).unionByName(held_out)
-        trees = trees.copy(
-            {
-                trees.validationIndicatorCol: IS_VALIDATION,
-                trees.validationTol: early_stop_tolerance,
-            }
-        )
-    columns = ["row_id", "features", TARGET, WEIGHT]
-    if validation is not None:
-        columns.append(IS_VALIDATION)
-    model = trees.fit(stable_layout(prepared.transform(rows).select(columns), "row_id"))
+    held_out = None if validation is None else _vectors(prepared, validation)
+    model = fit_trees(
+        boosted_trees(**params), _vectors(prepared, with_class_weight(train)), held_out, patience
+    )
     return PipelineModel(stages=[*prepared.stages, model])
 
 
@@ -135,32 +163,47 @@ def _param_maps(estimator, grid):
     return builder.build()
 
 
-def search(train, grid=None, n_iter=None, folds=3, parallelism=4, seed=42, **params):
+def search(
+    train, grid=None, n_iter=None, folds=SEARCH_FOLDS, parallelism=4, seed=42, validation=None,
+    patience=PATIENCE, **params,
+):
     """Cross-validated search by ROC AUC: the whole grid, or ``n_iter`` random settings.
 
     Returns the best ``PipelineModel`` and the tried settings as ``[(setting, mean_auc)]``;
-    the earlier setting wins ties.  The feature pipeline is fitted once, on all of ``train``:
-    scaling moves no tree split.
+    the earlier setting wins ties.  Feature pipeline and class weight are fitted anew for each
+    fold, on its training rows.  With ``validation`` every fit stops early on those rows.
     """
-    prepared = feature_pipeline(train)
-    folded = materialise(
-        prepared.transform(stratified_folds(with_class_weight(train), folds, seed=seed)).select(
-            "row_id", "features", TARGET, WEIGHT, "fold"
-        ),
-        "folds",
-    )
+    folded = materialise(stratified_folds(train, folds, seed=seed), "folds")
+    parts = []
+    for fold in range(folds):
+        rest = folded.where(F.col("fold") != fold)
+        prepared = feature_pipeline(rest)
+        checked = None
+        if validation is not None:
+            checked = materialise(_vectors(prepared, validation), "fold-validation")
+        parts.append(
+            (
+                materialise(_vectors(prepared, with_class_weight(rest)), "fold-train"),
+                materialise(
+                    _vectors(prepared, folded.where(F.col("fold") == fold)), "fold-test"
+                ),
+                checked,
+            )
+        )
     trees = boosted_trees(**params)
-    settings = _param_maps(trees, grid or SMALL_GRID)
+    settings = _param_maps(trees, grid or GRID)
     if n_iter is not None and n_iter < len(settings):
         settings = random.Random(seed).sample(settings, n_iter)
-    evaluator = BinaryClassificationEvaluator(labelCol=TARGET, metricName="areaUnderROC")
+    # No bins: scores are ranked as they are, however many there are.
+    evaluator = BinaryClassificationEvaluator(
+        labelCol=TARGET, metricName="areaUnderROC", numBins=0
+    )
 
     def mean_auc(setting):
         aucs = []
-        for fold in range(folds):
-            rest = stable_layout(folded.where(F.col("fold") != fold), "row_id")
-            model = trees.fit(rest, setting)
-            aucs.append(evaluator.evaluate(model.transform(folded.where(F.col("fold") == fold))))
+        for rest, test, checked in parts:
+            model = fit_trees(trees.copy(setting), rest, checked, patience)
+            aucs.append(evaluator.evaluate(model.transform(test)))
         return float(sum(aucs) / folds)
 
     # Driver threads that only submit jobs, as in CrossValidator, whose fold column costs a
@@ -172,8 +215,8 @@ def search(train, grid=None, n_iter=None, folds=3, parallelism=4, seed=42, **par
         ({param.name: value for param, value in setting.items()}, auc)
         for setting, auc in zip(settings, aucs)
     ]
-    model = trees.fit(stable_layout(folded, "row_id"), best)
-    return PipelineModel(stages=[*prepared.stages, model]), tried
+    chosen = {**params, **{param.name: value for param, value in best.items()}}
+    return fit_model(folded.drop("fold"), validation, patience, **chosen), tried
 
 
 def search_table(spark, tried):

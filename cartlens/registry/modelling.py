@@ -1,6 +1,7 @@
 """Registered queries on segments, models, attributions, stored artifacts and streams."""
 
 from collections import namedtuple
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -33,12 +34,26 @@ from cartlens.sources import artifacts
 from cartlens.sources.clickstream import STAR_EVENTS, STAR_PARTS, adapt_events
 from cartlens.streaming.scoring import read_requests, write_stream
 
-LIGHT = {"maxIter": 8, "maxDepth": 3}
+# The model behind the queries: fewer and smaller trees than the defaults, for small tables.
+LIGHT = {"maxIter": 20, "maxDepth": 3}
 
 Trained = namedtuple("Trained", "frame train validation test model")
 _trained = {}
 
 
+def once(make):
+    """Make a result once per session and folder; queries that share it do not fit again."""
+    made = {}
+
+    def kept(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = make(spark, sf_dir)
+        return made[key]
+
+    return kept
+
+
 def trained(spark, sf_dir):
     """Model frame, its three parts and a model; made once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -73,7 +88,7 @@ def segment_sizes(spark, sf_dir):
 @register()
 def rfm_scatter(spark, sf_dir):
     users = G.rfm_segments(B.rfm(clicks(spark, sf_dir)))
-    return rounded(G.rfm_scatter(users, n=100))
+    return rounded(G.rfm_scatter(users))
 
 
 def _vectors_sql():
@@ -125,56 +140,99 @@ def boosted_tree_scores(spark, sf_dir):
 
 @register()
 def early_stopping(spark, sf_dir):
-    """Trees kept with and without a validation set."""
+    """Validation metrics and trees of a model fitted without and with early stopping."""
     t = trained(spark, sf_dir)
-    stopped = training.fit_model(
-        t.train, t.validation, early_stop_tolerance=0.05, **{**LIGHT, "maxIter": 15}
-    )
-    scores = training.scored_set(stopped, t.validation)
-    return rounded(
-        C.ranking_metrics(C.score_curve(scores)).withColumn(
-            "n_trees", F.lit(stopped.stages[-1].getNumTrees)
+    params = {**LIGHT, "stepSize": 0.3}
+    rows = None
+    for patience in (None, 10):
+        checked = None if patience is None else t.validation
+        model = training.fit_model(t.train, checked, patience, **params)
+        scores = training.scored_set(model, t.validation)
+        found = C.ranking_metrics(C.score_curve(scores)).withColumns(
+            {"patience": F.lit(patience or 0), "n_trees": F.lit(model.stages[-1].getNumTrees)}
         )
+        rows = found if rows is None else rows.unionByName(found)
+    return rounded(rows)
+
+
+@once
+def grid_tried(spark, sf_dir):
+    t = trained(spark, sf_dir)
+    _, tried = training.search(
+        t.train, {"maxDepth": [2, 3]}, validation=t.validation, **{**LIGHT, "maxIter": 10}
     )
+    return training.search_table(spark, tried)
 
 
 @register()
 def grid_search(spark, sf_dir):
+    """A grid of its own: two depths with 10 trees instead of the default 216 settings."""
+    return rounded(grid_tried(spark, sf_dir))
+
+
+@once
+def random_tried(spark, sf_dir):
     _, tried = training.search(
-        trained(spark, sf_dir).train, {"maxDepth": [2, 3]}, folds=3, **{**LIGHT, "maxIter": 4}
+        trained(spark, sf_dir).train, training.GRID | {"maxIter": [2, 4]}, n_iter=training.DRAWS
     )
-    return rounded(training.search_table(spark, tried))
+    return training.search_table(spark, tried)
 
 
 @register()
 def random_search(spark, sf_dir):
-    _, tried = training.search(
-        trained(spark, sf_dir).train,
-        training.FULL_GRID | {"maxIter": [2, 4]},
-        n_iter=2,
-        folds=2,
-    )
-    return rounded(training.search_table(spark, tried))
+    """The default draws and folds over the default grid, but with 2 or 4 trees."""
+    return rounded(random_tried(spark, sf_dir))
+
+
+@once
+def folds(spark, sf_dir):
+    """Five folds as by default, with 10 trees of depth 3 and early stopping."""
+    frame = trained(spark, sf_dir).train
+    return evaluation.full_evaluation(frame, **{**LIGHT, "maxIter": 10})
 
 
 @register()
 def out_of_fold_scores(spark, sf_dir):
-    frame = trained(spark, sf_dir).train
-    return rounded(evaluation.out_of_fold_scores(frame, k=3, **{**LIGHT, "maxIter": 4}))
+    return rounded(folds(spark, sf_dir)["scores"])
 
 
 @register()
 def full_evaluation(spark, sf_dir):
-    frame = trained(spark, sf_dir).train
-    return rounded(
-        evaluation.full_evaluation(frame, k=3, **{**LIGHT, "maxIter": 4})["summary"]
+    return rounded(folds(spark, sf_dir)["summary"])
+
+
+def tall_bundle(bundle):
+    """All four tables of an evaluation bundle as one: ``part, threshold, measure, value``."""
+    none = F.lit(None).cast("double")
+    confusion = bundle["confusion"].select(
+        F.lit("confusion").alias("part"),
+        none.alias("threshold"),
+        F.concat(F.lit("actual "), "label", F.lit(" predicted "), "prediction").alias("measure"),
+        F.col("n").cast("double").alias("value"),
     )
+    parts = [confusion]
+    for name in ("metrics", "roc", "precision_recall"):
+        frame = bundle[name]
+        cells = F.array(
+            *[
+                F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
+                for c in frame.columns
+                if c != "threshold"
+            ]
+        )
+        threshold = F.col("threshold").cast("double") if "threshold" in frame.columns else none
+        parts.append(
+            frame.select(F.lit(name).alias("part"), threshold.alias("threshold"), F.inline(cells))
+        )
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @register()
 def test_set_evaluation(spark, sf_dir):
+    """All four tables of the evaluation of the test rows."""
     t = trained(spark, sf_dir)
-    return rounded(evaluation.evaluation_bundle(training.scored_set(t.model, t.test))["metrics"])
+    scores = materialise(training.scored_set(t.model, t.test), "test-scores")
+    return rounded(tall_bundle(evaluation.evaluation_bundle(scores)))
 
 
 @register()
@@ -201,7 +259,7 @@ def attribution_importance(spark, sf_dir):
 
 @register()
 def attribution_beeswarm(spark, sf_dir):
-    return rounded(A.beeswarm(*_explained(spark, sf_dir), n=200))
+    return rounded(A.beeswarm(*_explained(spark, sf_dir)))
 
 
 @register()
@@ -254,8 +312,7 @@ def stored_model_scores(spark, sf_dir):
     artifacts.save_model(
         t.model, FEATURES, {"f1_score": best["score"]}, folder, best["threshold"]
     )
-    model, metadata = artifacts.load_model(spark, folder)
-    return rounded(scoring.score(model, t.test, metadata["optimal_threshold"]))
+    return rounded(scoring.score_stored(spark, folder, t.test))
 
 
 def _stored_baseline(spark, sf_dir):
@@ -288,7 +345,7 @@ def csv_round_trip(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    events = read_requests(spark, sf_dir, STAR_EVENTS, pattern="events.parquet")
+    events = read_requests(spark, f"{sf_dir}/events.parquet", STAR_EVENTS)
     parts = spark.read.schema(STAR_PARTS).parquet(f"{sf_dir}/part.parquet")
     return adapt_events(events, parts)
 

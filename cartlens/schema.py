@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The column names and types below, and their order.
 # Raw clickstream events.
 RAW_CLICKSTREAM = T.StructType(
     [

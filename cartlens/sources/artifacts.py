@@ -51,7 +51,7 @@ def latest_model_path(spark, save_dir):
     files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
     found = [status.getPath().getParent().getParent().toString() for status in files or []]
     if not found:
-        raise FileNotFoundError(f"No model found in {save_dir}")
+        raise FileNotFoundError(f"{save_dir} holds no complete model")
     return max(found)
 
 

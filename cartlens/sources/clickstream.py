@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.functions.ordered import running_sums
+from cartlens.functions.ordered import ACCURACY, MARGIN, running_sums
 from cartlens.functions.rules import not_null
 from cartlens.schema import CLICKSTREAM, RAW_CLICKSTREAM
 
@@ -94,12 +94,18 @@ def top_categories(df, k=10):
 
 
 def first_rows(df, n, key="row_id"):
-    """The ``n`` rows with the smallest ``key``.
+    """The ``n`` rows with the smallest ``key``, a number of which no two are equal.
 
-    Only the key column is sorted; the rows are then taken by a comparison with the n-th
-    key, so a large cap does not gather rows in one task.
+    A sketch finds a key that surely has ``n`` keys at or below it and few more; only these are
+    put in order, and the rows are then taken by a comparison with the n-th key, so a large cap
+    does not gather rows in one task.
     """
-    ranked = running_sums(df.select(key), [F.col(key)], {"rank": F.lit(1)})
+    total = df.count()
+    share = min(1.0, n / max(1, total) + MARGIN / ACCURACY)
+    few = df.select(key)
+    if share < 1:
+        few = few.where(F.col(key) <= df.agg(F.percentile_approx(key, share, ACCURACY)).scalar())
+    ranked = running_sums(few, [F.col(key)], {"rank": F.lit(1)})
     cutoff = ranked.where(F.col("rank") <= n).agg(F.max(key)).scalar()
     return df.where(F.col(key) <= cutoff)
 

@@ -10,14 +10,21 @@ from cartlens.plans.scoring import DEFAULT_THRESHOLD, rejected, score
 from cartlens.schema import SCORING_INPUT
 
 
-def read_requests(spark, folder, schema=SCORING_INPUT, files_per_trigger=None, pattern=None):
-    """Requests as they arrive as Parquet files in ``folder``."""
+def read_requests(spark, path, schema=SCORING_INPUT, files_per_trigger=None):
+    """Requests from ``path``: one Parquet file, or a folder in which files may still arrive.
+
+    A file source takes folders only, so a single file is read as the folder that holds it,
+    with its name as the filter.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+    if status.isFile():
+        reader = reader.option("pathGlobFilter", hadoop_path.getName())
+        path = hadoop_path.getParent().toString()
+    return reader.parquet(path)
 
 
 def write_stream(frame, path, checkpoint, once=True):

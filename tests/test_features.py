@@ -143,7 +143,7 @@ def test_large_dictionary_is_joined_without_broadcast(random_events, monkeypatch
 
     columns = ["category_code", "brand"]
     sent = with_category_codes(random_events, columns).select("row_id", *columns)
-    monkeypatch.setattr(encoding, "BROADCAST_ENTRIES", 0)
+    monkeypatch.setattr(encoding, "BROADCAST_BYTES", 0)
     shuffled = with_category_codes(random_events, columns).select("row_id", *columns)
     assert sorted(sent.collect()) == sorted(shuffled.collect())
 
@@ -201,7 +201,7 @@ def test_hot_user_and_session_change_nothing(random_events, monkeypatch):
 
     plain = featured_carts(random_events)
     monkeypatch.setattr(
-        M, "hot_keys", lambda rows, keys: skew.hot_keys(rows, keys, min_rows=20)
+        M, "hot_keys", lambda rows, keys: skew.hot_keys(rows, keys, slice_rows=20)
     )
     assert M.hot_keys(random_events, ["user_id"])["user_id"]
     sliced = featured_carts(random_events)

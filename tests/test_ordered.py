@@ -12,7 +12,7 @@ def test_running_sums_cross_partition_borders(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(rng.integers(0, 40)), int(rng.integers(0, 5))) for i in range(1000)]
     df = spark.createDataFrame(rows, "id bigint, score double, n bigint").repartition(7)
-    order = [F.desc("score"), F.col("id")]
+    order = [-F.col("score"), F.col("id")]
     out = running_sums(
         df, order, {"cum": "n", "rank": F.lit(1)}, totals={"all_n": "cum", "all_rows": "rank"}
     )
@@ -27,11 +27,11 @@ def test_running_sums_cross_partition_borders(spark):
 
 def test_one_score_for_all_rows_is_still_spread(spark):
     df = spark.range(5000).select("id", F.lit(0.5).alias("score"))
-    out = running_sums(df, [F.desc("score"), F.col("id")], {"rank": F.lit(1)})
+    out = running_sums(df, [-F.col("score"), F.col("id")], {"rank": F.lit(1)})
     assert out.where(F.col("rank") != F.col("id") + 1).count() == 0
     from cartlens.functions.ordered import lay_out
 
-    largest = lay_out(df, [F.desc("score"), F.col("id")]).groupBy("_part").count()
+    largest = lay_out(df, [-F.col("score"), F.col("id")]).groupBy("_part").count()
     assert largest.agg(F.max("count")).first()[0] < 2500
 
 

@@ -10,11 +10,12 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from check_oracles import TABLES, compare  # noqa: E402
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from cartlens.registry import ORACLES, QUERIES  # noqa: E402
 from cartlens.schema import CLICKSTREAM, FEATURES  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-SQL = oracle_sql()
+SQL = ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
@@ -29,7 +30,7 @@ def connection():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, connection, name):
-    frame = queries()[name](spark, SF_DIR).toPandas()
+    frame = QUERIES[name](spark, SF_DIR).toPandas()
     assert compare(frame, connection.execute(SQL[name]).fetchdf()) is None
 
 
@@ -44,7 +45,7 @@ def _plan(df):
 
 
 def test_scans_read_only_the_columns_they_need(spark):
-    plan = _plan(queries()["user_behavior"](spark, SF_DIR))
+    plan = _plan(QUERIES["user_behavior"](spark, SF_DIR))
     assert "props" not in plan and "CartesianProduct" not in plan
 
 

@@ -12,16 +12,26 @@ def _rows(spark):
 
 
 def test_hot_keys_finds_only_the_heavy_one(spark):
-    hot = hot_keys(_rows(spark), ["user_id"], min_rows=200)
+    hot = hot_keys(_rows(spark), ["user_id"], slice_rows=200)
     assert [key for key, _ in hot["user_id"]] == [1]
     assert hot["user_id"][0][1] >= 5
     assert hot_keys(_rows(spark), ["user_id"]) == {"user_id": []}
 
 
+def test_slices_have_a_fixed_size_in_any_total(spark):
+    """A key of ten slices is cut into ten, however many other rows there are."""
+    for others in (0, 300_000):
+        rows = spark.range(10_000).select(F.lit(-1).alias("user_id")).unionAll(
+            spark.range(others).select(F.col("id").cast("int"))
+        )
+        ((key, slices),) = hot_keys(rows, ["user_id"], slice_rows=1_000)["user_id"]
+        assert key == -1 and slices in (10, 11)  # counts of the sketch are estimates
+
+
 def test_sliced_join_equals_plain_join(spark):
     rows = _rows(spark)
     stats = rows.where("user_id <> 7").groupBy("user_id").agg(F.count("*").alias("n"))
-    hot = hot_keys(rows, ["user_id"], min_rows=200)
+    hot = hot_keys(rows, ["user_id"], slice_rows=200)
     sliced = join_key_stats(rows, stats, "user_id", hot)
     plain = rows.join(stats, "user_id", "left")
     assert sliced.columns == plain.columns
@@ -35,7 +45,7 @@ def test_hot_rows_spread_over_the_join_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
     try:
-        hot = hot_keys(rows, ["user_id"], min_rows=100)
+        hot = hot_keys(rows, ["user_id"], slice_rows=100)
         joined = join_key_stats(rows, stats, "user_id", hot)
         tasks = joined.where("user_id = 1").groupBy(F.spark_partition_id().alias("p")).count()
         assert tasks.count() > 2
