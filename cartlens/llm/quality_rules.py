@@ -24,7 +24,7 @@ MEASURES = (
     ("word_length", "both", 2.0),
     ("symbol_share", "high", 0.05),
     ("dup_line_share", "high", 0.30),
-    ("repeat_share", "high", 0.15),
+    ("repeat_share", "high", 0.30),
 )
 
 

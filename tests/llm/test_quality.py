@@ -62,7 +62,8 @@ def test_thresholds_follow_their_group(spark, monkeypatch):
     got = {r.doc_id: r for r in quality_rules.query(docs).collect()}
     assert sum(r.kept for i, r in got.items() if i < 400) == 400
     assert not got[1000].kept and not got[1000].base_failed
-    assert got[1001].kept and got[1003].kept
+    assert not got[1001].kept  # long words are as odd in one source as marks in the other
+    assert got[1003].kept  # a small source borrows the thresholds of its language
     assert got[1002].base_failed and not got[1002].kept
     monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
     assert {r.doc_id: r for r in quality_rules.query(docs).collect()} == got
