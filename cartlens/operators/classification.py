@@ -301,17 +301,33 @@ def threshold_sweep(scored, beta=1.0):
     )
 
 
+def best_thresholds(scored, metrics=tuple(SWEEP_METRICS)):
+    """``metric, threshold, score`` for each metric: the best of one sweep, the lowest on ties."""
+    for metric in metrics:
+        if metric not in SWEEP_METRICS:
+            raise ValueError(f"Unknown metric {metric!r}; known: {sorted(SWEEP_METRICS)}")
+    best = []
+    for metric in metrics:
+        column = F.col(SWEEP_METRICS[metric])
+        found = F.max(
+            F.struct(
+                F.round(column, 12).alias("rounded"),
+                (-F.col("threshold")).alias("minus"),
+                "threshold",
+                column.alias("score"),
+            )
+        )
+        best.append(
+            F.struct(
+                F.lit(metric).alias("metric"), found["threshold"].alias("threshold"), found["score"].alias("score")
+            )
+        )
+    return threshold_sweep(scored).agg(F.array(*best).alias("best")).select(F.inline("best"))
+
+
 def best_threshold(scored, metric="f1"):
     """One row ``metric, threshold, score``: the best of the sweep, the lowest on ties."""
-    if metric not in SWEEP_METRICS:
-        raise ValueError(f"Unknown metric {metric!r}; known: {sorted(SWEEP_METRICS)}")
-    column = SWEEP_METRICS[metric]
-    return (
-        threshold_sweep(scored)
-        .orderBy(F.desc(F.round(column, 12)), "threshold")
-        .limit(1)
-        .select(F.lit(metric).alias("metric"), "threshold", F.col(column).alias("score"))
-    )
+    return best_thresholds(scored, [metric])
 
 
 def fold_metrics(scored, threshold=0.5):

@@ -158,12 +158,7 @@ _BEST = [
 
 @register("\nUNION ALL ".join(_BEST), ["sweep"])
 def best_thresholds(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    best = [C.best_threshold(rows, metric) for metric in C.SWEEP_METRICS]
-    together = best[0]
-    for one in best[1:]:
-        together = together.unionByName(one)
-    return rounded(together, threshold=2)
+    return rounded(C.best_thresholds(scored(spark, sf_dir)), threshold=2)
 
 
 @register(

@@ -72,3 +72,28 @@ def test_first_rows_takes_the_smallest_keys(spark):
     found = sorted(r[0] for r in first_rows(df, 20).collect())
     assert found == sorted(i * 7 % 501 for i in range(500))[:20]
     assert first_rows(df, 10_000).count() == 500
+
+
+def _row_shuffles(df):
+    """Exchanges of the plan that carry rows, not the partial sums or tails of the parts."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [
+        line
+        for line, below in zip(lines, lines[1:])
+        if "Exchange hashpartitioning" in line and "partial_" not in below
+    ]
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"))
+    sums = running_sums(df, [F.col("k"), F.col("id")], {"rank": F.lit(1)})
+    before = previous_value(df, ["k"], ["id"], "id", "before")
+    for out in (sums, before):
+        assert len(_row_shuffles(out)) == 1
+        assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_expand_no_rows(spark):
+    df = spark.range(1000).selectExpr("double(id) as a", "double(id % 9) as b")
+    plan = exact_quantiles(df, ["a", "b"], [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
