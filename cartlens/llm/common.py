@@ -62,7 +62,8 @@ def fit_logistic(x, y, weights=None, ridge=1e-2, rounds=50):
 
     ``x`` is a bounded sample.  One class, or no rows, gives the smoothed share of the class.
     """
-    x = np.asarray(x, float).reshape(len(y), -1)
+    x = np.asarray(x, float)
+    x = x.reshape(len(y), -1) if len(y) else x.reshape(0, x.shape[-1] if x.ndim == 2 else 1)
     y = np.asarray(y, float)
     w = np.ones(len(y)) if weights is None else np.asarray(weights, float)
     beta = np.zeros(x.shape[1] + 1)
@@ -113,7 +114,8 @@ def components(edges, name="components"):
         ).distinct(),
         name,
     )
-    while True:
+    before = digest(edges)
+    while before[0]:
         # large-star: neighbours above a node go to the smallest of the node and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(
@@ -123,27 +125,25 @@ def components(edges, name="components"):
             name,
         )
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct(), name)
+        large = materialise(large.where("a <> b"), name)
         # small-star: a node and its neighbours below it go to the smallest of them
         lower = materialise(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(lower.select("a", F.col("m").alias("b")))
         small = materialise(small.where("a <> b").distinct(), name)
-        if same_edges(edges, small):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        edges = small
-
-
-def same_edges(left, right):
-    """Whether two sets of distinct edges are equal, by counts and sums of two hashes."""
+        edges, after = small, digest(small)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
 
-    def digest(edges):
-        return edges.agg(
-            F.count(F.lit(1)),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-            F.sum(F.xxhash64("b", F.lit(7), "a").cast("decimal(38,0)")),
-        ).first()
 
-    return digest(left) == digest(right)
+def digest(edges):
+    """Count and sums of two hashes: equal for equal sets of distinct edges."""
+    return edges.agg(
+        F.count(F.lit(1)),
+        F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
+        F.sum(F.xxhash64("b", F.lit(7), "a").cast("decimal(38,0)")),
+    ).first()

@@ -159,13 +159,18 @@ def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
         .agg(F.first("line").alias("line")),
         "line-texts",
     )
-    # Each edit flips at most two of 64 parities, one per character class.
-    texts = texts.select(
+    # Each edit flips at most two of 64 parities of characters, and four of those of pairs.
+    singles = "aggregate(sequence(0, n - 1), 0L, (s, i) -> s ^ shiftleft(1L, pmod(hash(get(c, i)), 64)))"
+    pairs = (
+        "aggregate(sequence(1, n - 1), 0L, (s, i) -> s ^ shiftleft(1L,"
+        " pmod(hash(get(c, i - 1), get(c, i)), 64)))"
+    )
+    texts = texts.select("h1", "h2", "line", F.length("line").alias("n")).select(
         "h1",
         "h2",
-        F.struct("line", F.length("line").alias("n")).alias("text"),
+        F.struct("line", "n").alias("text"),
         F.expr(
-            "aggregate(split(line, ''), 0L, (s, c) -> s ^ shiftleft(1L, pmod(hash(c), 64)))"
+            _let("c", "split(line, '')", f"named_struct('one', {singles}, 'two', {pairs})")
         ).alias("parity"),
     )
     # A key with many lines is cut into blocks; pairs of blocks are compared where they meet.
@@ -192,7 +197,8 @@ def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
     )
     close = f"""(x.indexed or y.indexed) and x.id <> y.id and (block <> other or x.id < y.id)
         and abs(x.text.n - y.text.n) <= {max_edits}
-        and bit_count(x.parity ^ y.parity) <= {2 * max_edits}
+        and bit_count(x.parity.one ^ y.parity.one) <= {2 * max_edits}
+        and bit_count(x.parity.two ^ y.parity.two) <= {4 * max_edits}
         and {distance} <= {max_edits}"""
     found = left.join(right, ["key", "other"]).select(
         F.explode(
