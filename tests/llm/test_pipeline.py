@@ -13,6 +13,7 @@ import corpus_pipeline  # noqa: E402
 from check_oracles import TABLES, compare  # noqa: E402
 
 from cartlens.llm.queries import ORACLES, QUERIES  # noqa: E402
+from cartlens.session import materialise  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
@@ -30,7 +31,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     before = docs.count()
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, SF_DIR)
+        docs = materialise(stage(spark, docs, SF_DIR), "stage")
         if number + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == COLUMNS, name
             after = docs.count()
@@ -43,7 +44,7 @@ def test_stages_keep_columns_and_clean_documents(spark):
 def test_run_equals_the_stages(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF_DIR)
+        docs = materialise(stage(spark, docs, SF_DIR), "stage")
     want = sorted(map(tuple, docs.collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect())) == want
 
