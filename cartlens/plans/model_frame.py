@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cartlens.functions.rules import raw_rules, violation_counts
 from cartlens.functions.skew import hot_keys, join_key_stats
 from cartlens.operators import behavior as B
 from cartlens.operators.cleaning import clean
@@ -30,11 +31,16 @@ def featured_carts(events, users=None):
     return with_sessions.withColumn(TARGET, F.col("has_purchase"))
 
 
+def rule_counts(events):
+    """Rows broken per raw rule among the events that the model frame is made of."""
+    return violation_counts(clean(events), raw_rules())
+
+
 def model_frame(events, segments=4, seed=42, encode=False, purchases_only=False):
     """The full frame: ``row_id``, 14 features and target.
 
     Events without a ``row_id`` get one after cleaning.  The cleaned events are written out
-    once, as four branches read them.  ``main_category``
+    once, as four branches read them; ``rule_counts`` tells which rules they break.  ``main_category``
     stays text, and is indexed inside the training pipeline, so that a scoring input can be
     given as text too; ``encode`` replaces it by its integer code among all ``events``.
     """

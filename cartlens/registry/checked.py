@@ -17,9 +17,10 @@ from cartlens.registry import modelling as M
 from cartlens.registry.base import ORACLES, clicks, register, rounded, scored
 from cartlens.registry.events import _FRAME_SQL
 from cartlens.registry.evaluation import _PR, _ROC
-from cartlens.schema import REQUIRED_COLUMNS, RFM_COLUMNS
+from cartlens.schema import REQUIRED_COLUMNS, RFM_COLUMNS, SCORING_INPUT
 from cartlens.session import materialise, scratch_path
 from cartlens.sources import artifacts
+from cartlens.streaming.scoring import read_requests
 
 NAMES = ["price", "hour", "constant"]
 # The three contributions of a row, as Spark and as SQL expressions alike.
@@ -313,3 +314,16 @@ def refused_inputs(spark, sf_dir):
         found.append((column, refused(lambda c=column: require_columns(events.drop(c)))))
     found.append(("rows", refused(lambda: scoring.score_batch(None, events.where("false")))))
     return spark.createDataFrame(found, "missing string, refused boolean")
+
+
+@register(f"SELECT row_id, true AS same FROM ({_rows_of('test')}) JOIN scored USING (row_id) WHERE price > 0", ["scored"])
+def stream_model_scores(spark, sf_dir):
+    """The test rows as a stream of requests, scored by the model; equal to the batch scores."""
+    t = M.trained(spark, sf_dir)
+    path = scratch_path(spark, "requests")
+    sent = t.test.withColumn("is_weekend", F.col("is_weekend") == 1)
+    sent.select(*[F.col(f.name).cast(f.dataType) for f in SCORING_INPUT.fields]).write.parquet(path)
+    streamed = M.run_stream(spark, scoring.score(t.model, read_requests(spark, path)), "streamed")
+    batch = scoring.score(t.model, spark.read.schema(SCORING_INPUT).parquet(path))
+    pairs = streamed.join(batch.select("row_id", F.col("probability").alias("p")), "row_id")
+    return pairs.select("row_id", (F.abs(F.col("probability") - F.col("p")) < 1e-12).alias("same"))

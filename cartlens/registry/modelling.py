@@ -350,7 +350,7 @@ def _stream(spark, sf_dir):
     return adapt_events(events, parts)
 
 
-def _run(spark, stream, name):
+def run_stream(spark, stream, name):
     out = scratch_path(spark, name)
     write_stream(stream, f"{out}/rows", f"{out}/progress").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -373,7 +373,7 @@ FROM (SELECT row_id, (row_id * 7919 % 800 + least(CAST(floor(price) AS BIGINT),
 def stream_scores(spark, sf_dir):
     valid = valid_rows(_stream(spark, sf_dir), raw_rules())
     scores = valid.select("row_id", stand_in_probability(F.lit(0)).alias("probability"))
-    return _run(spark, scoring.with_decision(scores), "stream-scores")
+    return run_stream(spark, scoring.with_decision(scores), "stream-scores")
 
 
 @register(ORACLES["quarantined_events"])
@@ -385,4 +385,4 @@ def stream_rejected(spark, sf_dir):
         "price",
         F.concat_ws(",", "violations").alias("violations"),
     )
-    return _run(spark, bad, "stream-rejected")
+    return run_stream(spark, bad, "stream-rejected")

@@ -222,3 +222,35 @@ def test_parsed_time_of_bad_text_is_null(spark):
 def test_confidence_band(spark, probability, band):
     df = spark.createDataFrame([(probability,)], "p double")
     assert df.select(X.confidence_band("p")).first()[0] == band
+
+
+def test_text_time_is_parsed_and_rules_are_counted(random_events):
+    from cartlens.plans.model_frame import rule_counts
+
+    text = random_events.withColumn("event_time", F.col("event_time").cast("string"))
+    cleaned = cleaning.clean(text)
+    assert cleaned.schema["event_time"].dataType.typeName().startswith("timestamp")
+    assert cleaned.count() == cleaning.clean(random_events).count()
+    broken = random_events.withColumn("price", F.when(F.col("row_id") < 5, -1.0).otherwise(F.col("price")))
+    assert {r["rule"]: r["n_broken"] for r in rule_counts(broken).collect()}["price_positive"] == 5
+
+
+def test_copies_under_other_keys_are_duplicates(random_events):
+    copies = random_events.withColumn("row_id", F.col("row_id") + 1000)
+    kept = cleaning.drop_duplicate_rows(copies.unionAll(random_events))
+    raw = random_events.drop("row_id").distinct().count()
+    assert kept.count() == raw and kept.agg(F.max("row_id")).first()[0] < 1000
+
+
+def test_stream_reads_a_file_and_a_folder_of_files(spark, random_events, tmp_path):
+    from cartlens.streaming.scoring import read_requests, write_stream
+
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    random_events.repartition(3).write.parquet(many)
+    random_events.coalesce(1).write.parquet(one)
+    (file,) = [str(p) for p in (tmp_path / "one").glob("part-*")]
+    for i, path in enumerate((many, file)):
+        stream = read_requests(spark, path, random_events.schema)
+        out = str(tmp_path / f"out{i}")
+        write_stream(stream, out, str(tmp_path / f"progress{i}")).awaitTermination()
+        assert spark.read.parquet(out).count() == 400

@@ -233,6 +233,14 @@ def test_report(frame, model):
     assert 0.5 < found["roc_auc"] <= 1 and 0 <= found["first_cluster_peak_hour"] < 24
 
 
+def test_report_without_errors(frame, model):
+    """A model that is right on all rows leaves nothing to cluster, and the report stands."""
+    scores = training.scored_set(model, frame)
+    right = scores.where("(probability >= 0.5) = (label = 1)").select("row_id")
+    found = recommendation_report(model, materialise(frame.join(right, "row_id"), "right")).first()
+    assert found["precision"] == 1.0 and found["first_cluster_n_errors"] is None
+
+
 def test_scoring_needs_no_target_and_orders_features(frame, model):
     requests = frame.drop("target").select(*reversed(FEATURES), "row_id")
     scores = scoring.score(model, requests, 0.4)
@@ -250,6 +258,8 @@ def test_saved_model_scores_the_same(frame, model, spark, tmp_path):
     loaded, metadata = artifacts.load_model(spark, folder)
     assert metadata["optimal_threshold"] == 0.35 and metadata["metrics"] == {"auc": 0.9}
     assert metadata["features"] == FEATURES
+    stored = scoring.score_stored(spark, folder, frame)
+    assert [r["threshold"] for r in stored.select("threshold").distinct().collect()] == [0.35]
     one, two = (scoring.score(m, frame) for m in (model, loaded))
     assert one.exceptAll(two).count() == 0
     with pytest.raises(FileNotFoundError):
