@@ -31,11 +31,13 @@ def held_out(doc_id):
 
 
 def labelled_sample(docs, labels, label, per_class, name):
-    """``doc_id, text, label, half``: at most ``per_class`` labelled documents of each class.
+    """``doc_id, text, label, half, weight``: at most ``per_class`` labelled documents of each class.
 
     The documents come in the order of a hash of their id, from the rows that are not held
     out; a document labelled more than once counts with its largest label.  ``half`` (0 or 1)
     parts the sample, so that what is learnt on one half can be calibrated on the other.
+    ``weight`` is how many documents of its class, counted over all labels that are not held
+    out, a row stands for: weighted, the classes have their true shares at any size.
     """
     known = (
         labels.where(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1))
@@ -43,11 +45,13 @@ def labelled_sample(docs, labels, label, per_class, name):
         .agg(F.max(label).cast("int").alias("label"))
     )
     rank = F.xxhash64("doc_id", F.lit(label))
+    totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
     for value in (0, 1):
         some = known.where(F.col("label") == value).orderBy(rank, "doc_id").limit(per_class)
+        some = some.withColumn("weight", F.lit(max(1.0, totals.get(value, 0) / max(per_class, 1))))
         picked = some if picked is None else picked.unionByName(some)
-    # At most 2 * per_class rows of three numbers.
+    # At most 2 * per_class rows of four numbers.
     picked = F.broadcast(
         picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     )
@@ -57,6 +61,12 @@ def labelled_sample(docs, labels, label, per_class, name):
     return materialise(texts.join(picked, "doc_id"), name)
 
 
+def mean_one(weights):
+    """``weights`` over their mean, so that a penalty keeps its strength against the rows."""
+    weights = np.asarray(weights, float)
+    return weights / weights.mean() if len(weights) else weights
+
+
 def fit_logistic(x, y, weights=None, ridge=1e-2, rounds=50):
     """Coefficients (intercept first) of a ridge logistic regression, by Newton's method.
 

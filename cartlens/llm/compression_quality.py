@@ -14,7 +14,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import fit_logistic, held_out, labelled_sample, logistic
+from cartlens.llm.common import fit_logistic, held_out, labelled_sample, logistic, mean_one
 
 DICT_BYTES = 32_768
 PIECE = 2_048
@@ -78,7 +78,8 @@ def train(docs, labels, per_class=PER_CLASS, text_bytes=DICT_TEXT_BYTES):
     """A model dictionary from labelled documents that are not held out.
 
     ``per_class`` bounds the sample.  Half of it trains the dictionaries, whole texts in the
-    order of a hash until a class has ``text_bytes``; the other half calibrates.
+    order of a hash until a class has ``text_bytes``; the other half calibrates, weighted to the
+    true shares of the classes.
     """
     sample = labelled_sample(docs, labels, "quality", per_class, "quality-sample")
     data = F.col("text").cast("binary")
@@ -100,14 +101,16 @@ def train(docs, labels, per_class=PER_CLASS, text_bytes=DICT_TEXT_BYTES):
     measured = _measured(spark, dictionaries)
     rows = (
         sample.where("half = 1")
-        .select("label", measured(F.col("text").cast("binary")).alias("m"))
-        .select("label", "m.*")
+        .select("label", "weight", measured(F.col("text").cast("binary")).alias("m"))
+        .select("label", "weight", "m.*")
         .collect()
     )
-    x = np.array([r[1:] for r in rows], float).reshape(-1, 3)
-    mean = x.mean(axis=0) if len(x) else np.zeros(3)
-    scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(3)
-    beta = fit_logistic(expand(x, mean, scale), [r["label"] for r in rows], ridge=1.0)
+    x = np.array([r[2:] for r in rows], float).reshape(-1, 3)
+    weights = mean_one([r["weight"] for r in rows])
+    mean = np.average(x, axis=0, weights=weights) if len(x) else np.zeros(3)
+    spread = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weights)) if len(x) else np.ones(3)
+    scale = np.maximum(spread, 1e-6)
+    beta = fit_logistic(expand(x, mean, scale), [r["label"] for r in rows], weights, ridge=1.0)
     return {"dictionaries": dictionaries, "mean": mean, "scale": scale, "beta": beta}
 
 

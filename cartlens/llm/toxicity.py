@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlens.llm.common import fit_logistic, held_out, labelled_sample, logistic
+from cartlens.llm.common import fit_logistic, held_out, labelled_sample, logistic, mean_one
 
 WORD = re.compile(r"[^\W_]+")
 # Words that report speech or speak to a person, and quotation marks.
@@ -252,7 +252,7 @@ def train(spark, docs, labels, per_class=3_000, extra_terms=()):
 
     ``per_class`` bounds the sample of each class.  ``extra_terms`` adds whole words to the
     learnt lexicon.  Half of the sample names harmless look-alikes and weighs the terms, the
-    other half calibrates.
+    other half calibrates, weighted to the true shares of the classes.
     """
     sample = labelled_sample(docs, labels, "toxic", per_class, "toxicity-sample")
     lexicon = learn_lexicon(sample)
@@ -267,6 +267,7 @@ def train(spark, docs, labels, per_class=3_000, extra_terms=()):
                 {
                     "label": batch.label,
                     "half": batch.half,
+                    "weight": batch.weight,
                     "hits": [
                         [(w, int(e), int(t), bool(q), bool(p)) for w, e, t, q, p in set(h)]
                         for h in hits
@@ -275,10 +276,10 @@ def train(spark, docs, labels, per_class=3_000, extra_terms=()):
             )
 
     schema = (
-        "label int, half int, hits array<struct<word string, edits int, term int, "
+        "label int, half int, weight double, hits array<struct<word string, edits int, term int, "
         "quoted boolean, personal boolean>>"
     )
-    rows = sample.select("label", "half", "text").mapInPandas(found, schema).collect()
+    rows = sample.select("label", "half", "weight", "text").mapInPandas(found, schema).collect()
     harmless, counts = set(), {}
     size = {0: 1, 1: 1}
     for row in rows:
@@ -300,11 +301,12 @@ def train(spark, docs, labels, per_class=3_000, extra_terms=()):
     calibrating = [r for r in rows if r["half"] == 1]
     x = [_evidence([tuple(h) for h in r["hits"]], weights, harmless) for r in calibrating]
     y = [r["label"] for r in calibrating]
+    stands_for = mean_one([r["weight"] for r in calibrating])
     return {
         "lexicon": lexicon,
         "weights": weights,
         "harmless": frozenset(harmless),
-        "beta": fit_logistic(np.array(x).reshape(-1, 1), y).tolist(),
+        "beta": fit_logistic(np.array(x).reshape(-1, 1), y, stands_for).tolist(),
     }
 
 

@@ -121,3 +121,14 @@ def test_classifier_on_ugly_rows_and_empty_tables(spark):
         rows = compression_quality.query(docs, known).collect()
         assert len(rows) == len(ugly_rows()) and all(0 <= r.score <= 1 for r in rows)
     assert compression_quality.query(docs.where("false"), labels).collect() == []
+
+
+def test_share_of_a_capped_class_is_kept(spark):
+    """Labels that the texts do not tell apart score their share, whatever the cap."""
+    docs = make_docs(spark, [(i, prose(i, 40)) for i in range(900)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(900)], "doc_id long, quality int")
+    for cap in (60, 900):
+        model = compression_quality.train(docs, labels, per_class=cap)
+        scored = compression_quality.score_documents(docs, model)
+        mean = scored.agg(F.avg("_quality.score")).first()[0]
+        assert 0.02 < mean < 0.2

@@ -97,3 +97,13 @@ def test_ugly_rows_and_empty_tables(spark):
         assert all(r.held_out for r in rows if r.doc_id is None)
     assert toxicity.query(spark, docs.where("false"), labels).collect() == []
     assert toxicity.drop_toxic(spark, docs, labels.where("false"), threshold=0.6).columns == docs.columns
+
+
+def test_share_of_a_capped_class_is_kept(spark):
+    """Labels that the texts do not tell apart score their share, whatever the cap."""
+    docs = make_docs(spark, [(i, "") for i in range(900)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(900)], LABELS)
+    for cap in (60, 900):
+        model = toxicity.train(spark, docs, labels, per_class=cap)
+        score = docs.select(toxicity.scorer(spark, model)(F.col("text"))["score"]).first()[0]
+        assert 0.05 < score < 0.15
