@@ -6,6 +6,9 @@ one class; the first occurrence of a class in the corpus stays.  A line is cut i
 that the lengths narrow down to a few, so each line sends one key per segment and a few probes
 for every length it may match.  Keys are hashes; only keys that two different lines share lead
 to a comparison, which is a banded bit-parallel edit distance on the lines themselves.
+
+With ``whole``, as the registered query and the pipeline have it, that holds for every line
+that is not blank: exact repeats of any length, and near lines within edits scaled to the length.
 """
 
 from pyspark.sql import functions as F
@@ -129,10 +132,14 @@ def edit_distance(a, b, most):
     return _let("long", f"split({a}.line, '')", _let("short", f"split({b}.line, '')", walk))
 
 
-def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
-    """``a, b``: ids of two different lines within ``max_edits`` edits, each pair once."""
-    spark = docs.sparkSession
+def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, max_chars=None):
+    """``a, b``: ids of two different lines within ``max_edits`` edits, each pair once.
+
+    Lines under ``min_chars`` and, where given, over ``max_chars`` characters are left out.
+    """
     lines = lines_of(docs).where(F.length("line") >= min_chars)
+    if max_chars is not None:
+        lines = lines.where(F.length("line") <= max_chars)
     keyed = _keyed(lines, max_edits)
     # Every repeat of a line merges into one row before the shuffle, so a frequent line is small.
     shared = materialise(
@@ -219,16 +226,35 @@ def _with(rows, few, keys):
     return rows.join(few, keys, "left_semi")
 
 
-def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
+def scaled_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
+    """Near pairs, those with a line under ``min_chars`` within the edits scaled to its length.
+
+    That is ``max_edits * n / min_chars``, rounded down, for the shorter length ``n``: one edit
+    for 10 to 19 characters and none below, by default.
+    """
+    pairs = near_pairs(docs, max_edits, min_chars)
+    for edits in range(1, max_edits):
+        least = -(-edits * min_chars // max_edits)
+        below = -(-(edits + 1) * min_chars // max_edits)
+        # The longer line of a pair may lie above the range of the shorter one.
+        pairs = pairs.unionByName(near_pairs(docs, edits, least, below - 1 + edits))
+    return pairs.distinct()
+
+
+def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, whole=False):
     """``doc_id, dropped, links, classes``: for each document the lines that repeat another.
 
     ``dropped`` are the numbers, from 0, of lines whose class has an earlier occurrence, by
     ``doc_id`` and then line number.  ``classes`` names the class of each dropped line by its
     smallest line id (hexadecimal) and ``links`` counts the near lines of other wording that
     the dropped lines have.  Documents that lose no line are not in the table.  Lines under
-    ``min_chars`` characters are never dropped.
+    ``min_chars`` characters are never dropped, unless ``whole``: then every line that is not
+    blank has a class, by its exact repeats and by ``scaled_pairs``.
     """
-    pairs = near_pairs(docs, max_edits, min_chars)
+    if whole:
+        pairs = materialise(scaled_pairs(docs, max_edits, min_chars), "scaled-pairs")
+    else:
+        pairs = near_pairs(docs, max_edits, min_chars)
     classes = components(pairs, "line-classes")
     degree = (
         pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
@@ -242,7 +268,9 @@ def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
         "line-roots",
     )
     places = materialise(
-        lines_of(docs).where(F.length("line") >= min_chars).select("doc_id", "pos", *_line_id()),
+        lines_of(docs)
+        .where(F.length("line") >= (1 if whole else min_chars))
+        .select("doc_id", "pos", *_line_id()),
         "line-places",
     )
     exact = places.groupBy("h1", "h2").agg(
@@ -283,13 +311,13 @@ def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
     )
 
 
-def query(docs):
+def query(docs, whole=False):
     """One row per document: lines, lines dropped, their numbers, classes and links.
 
     Null text has no lines, empty text one empty line.  Rows that share a ``doc_id`` are
     treated alike, and a row without one is never compared and loses nothing.
     """
-    found = repeated_lines(docs)
+    found = repeated_lines(docs, whole=whole)
     counted = docs.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")
     )
@@ -303,14 +331,14 @@ def query(docs):
     )
 
 
-def drop_repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
+def drop_repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, whole=False):
     """``docs`` without the repeated lines; ``n_chars`` follows where that column exists.
 
     A document of which nothing but blanks remains is left out if it lost a line.  All other
     columns pass through.
     """
     name = spare(docs, "_dropped")
-    found = repeated_lines(docs, max_edits, min_chars).select(
+    found = repeated_lines(docs, max_edits, min_chars, whole).select(
         "doc_id", F.col("dropped").alias(name)
     )
     numbers = f"array_except(sequence(0, size(l) - 1), {name})"

@@ -40,7 +40,7 @@ def op2_pii(spark, sf_dir):
 
 @register
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup.query(documents(spark, sf_dir))
+    return line_dedup.query(documents(spark, sf_dir), whole=True)
 
 
 @register

@@ -16,7 +16,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def dedup_lines(spark, docs, sf_dir):
     """Lines that repeat an earlier line of the corpus, exactly or nearly, go."""
-    return line_dedup.drop_repeated_lines(docs)
+    return line_dedup.drop_repeated_lines(docs, whole=True)
 
 
 def dedup_documents(spark, docs, sf_dir):

@@ -141,3 +141,54 @@ def test_ugly_rows_and_empty_table(spark):
     assert {r.doc_id: r.n_lines for r in rows if r.doc_id in (1, 2, 8)} == {1: 0, 2: 1, 8: 700}
     assert line_dedup.query(docs.where("false")).collect() == []
     assert line_dedup.drop_repeated_lines(docs.where("false")).collect() == []
+
+
+def slow_whole(rows, most=2, least=20):
+    """Numbers of dropped lines by document where short lines count, with edits scaled to length."""
+    places = sorted(
+        (doc, pos, line.strip(BLANKS))
+        for doc, text in rows
+        for pos, line in enumerate(text.split("\n"))
+        if line.strip(BLANKS)
+    )
+    lines = sorted({line for _, _, line in places})
+    parent = {line: line for line in lines}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            allowed = min(most, most * min(len(a), len(b)) // least)
+            if abs(len(a) - len(b)) <= allowed and slow_distance(a, b) <= allowed:
+                parent[root(a)] = root(b)
+    seen, dropped = {}, {}
+    for doc, pos, line in places:
+        if (doc, pos) > seen.setdefault(root(line), (doc, pos)):
+            dropped.setdefault(doc, set()).add(pos)
+    return {doc: ",".join(map(str, sorted(p))) for doc, p in dropped.items()}
+
+
+def test_short_lines_are_classed_too(spark):
+    rng = random.Random(3)
+    pool = ["And ornd.", "}", "漢字漢字", "In in oredble ea.", "twenty letters here.", "twenty letters here"]
+    pool += [prose(i, rng.randint(1, 5))[: rng.randint(1, 30)].strip() or "x" for i in range(40)]
+    pool += [edited(rng, rng.choice([p for p in pool if len(p) > 2]), rng.randint(1, 2)) for _ in range(80)]
+    rows = [(i, "\n".join(rng.choice(["", " "]) + rng.choice(pool) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    got = {r.doc_id: r.dropped for r in line_dedup.query(make_docs(spark, rows), whole=True).collect()}
+    assert {d: x for d, x in got.items() if x} == slow_whole(rows)
+
+
+def test_registered_paths_drop_short_repeats(spark, tmp_path):
+    import corpus_pipeline
+
+    from cartlens.llm.queries import QUERIES
+
+    docs = make_docs(spark, [(1, "And ornd.\none"), (2, "two\nAnd ornd."), (3, "And ornd.")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.dropped for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert rows == {1: "", 2: "1", 3: "0"}
+    kept = corpus_pipeline.dedup_lines(spark, docs, None).collect()
+    assert {r.doc_id: r.text for r in kept} == {1: "And ornd.\none", 2: "two"}
