@@ -15,7 +15,8 @@ BASE = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
-# Label, keyword, words of the name (a regular expression), SPDX words.
+# Label, keyword that every alternative of the name holds, words of the name (a
+# regular expression), SPDX words.
 FAMILIES = (
     ("apache-1.1", "apache", "apache (?:software )?license(?: version)? 1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?license(?: version)? 2(?: 0)?", "apache 2 0"),
@@ -35,7 +36,7 @@ FAMILIES = (
     ("gpl", "general", "gnu general public license", "gpl"),
     ("lgpl-2.1", "lesser", "gnu lesser general public license(?: v| version)? ?2 1", "lgpl 2 1(?: only| or later)?"),
     ("lgpl-3.0", "lesser", "gnu lesser general public license(?: v| version)? ?3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl", "lesser", "gnu (?:lesser|library) general public license", "lgpl"),
+    ("lgpl", "general", "gnu (?:lesser|library) general public license", "lgpl"),
     ("agpl-3.0", "affero", "gnu affero general public license(?: v| version)? ?3(?: 0)?", "agpl 3 0(?: only| or later)?"),
     ("agpl", "affero", "(?:gnu )?affero general public license", "agpl"),
     ("gfdl", "documentation", "gnu free documentation license(?: version 1 [123])?", "gfdl 1 [123]"),
@@ -49,8 +50,8 @@ FAMILIES = (
     ("eupl-1.2", "european", "european union public licen[cs]e(?: v| version)?(?: 1 2)?", "eupl 1 2"),
     ("artistic-2.0", "artistic", "artistic license(?: version)? 2(?: 0)?", "artistic 2 0"),
     ("artistic", "artistic", "artistic license", "artistic 1 0"),
-    ("cc-by-4.0", "by", "cc by 4 0|creative commons attribution 4 0(?: international)?", "cc by 4 0"),
-    ("cc-by-3.0", "by", "cc by 3 0|creative commons attribution 3 0(?: unported)?", "cc by 3 0"),
+    ("cc-by-4.0", "4 0", "cc by 4 0|creative commons attribution 4 0(?: international)?", "cc by 4 0"),
+    ("cc-by-3.0", "3 0", "cc by 3 0|creative commons attribution 3 0(?: unported)?", "cc by 3 0"),
     ("cc-by-sa-4.0", "sa", "cc by sa 4 0", "cc by sa 4 0"),
     ("cc-by-sa", "sa", "cc by sa", "cc by sa 3 0"),
     ("cc-by-nc-4.0", "nc", "cc by nc 4 0", "cc by nc 4 0"),
@@ -79,7 +80,7 @@ FAMILIES = (
     ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
     ("sspl-1.0", "server", "server side public license(?: v1)?", "sspl 1 0"),
     ("busl-1.1", "business", "business source license(?: 1 1)?", "busl 1 1"),
-    ("openrail", "responsible", "responsible ai license|openrail(?: m)? license", "openrail"),
+    ("openrail", "license", "responsible ai license|openrail(?: m)? license", "openrail"),
     ("osl-3.0", "open", "open software license(?: v| version)?(?: 3 0)?", "osl 3 0"),
     ("afl-3.0", "academic", "academic free license(?: v| version)?(?: 3 0)?", "afl 3 0"),
     ("ncsa", "illinois", "university of illinois ncsa open source license", "ncsa"),
@@ -129,7 +130,7 @@ OTHERS = (
 )
 # Stems one of which every rule and every phrase needs.
 STEMS = ("licen", "reserved", "copyright", "public domain", "warrant", "permission", "copyleft",
-         "cc by", "cc0", "creative commons", "mit no", "clause bsd", "bsd")
+         "cc by", "cc0", "creative commons", "mit no", "clause bsd", "bsd", "proprietary")
 _SPAN = "array<struct<s:int,n:int>>"
 
 

@@ -79,3 +79,48 @@ def test_specific_detection_wins(spark):
 
 def test_empty_table(spark):
     assert license_scan.query(make_docs(spark, ugly_rows()).where("false")).collect() == []
+
+
+def wordings(tree):
+    """A text for every choice of alternatives and optional parts of a parsed expression."""
+    out = [""]
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            some = [chr(value)]
+        elif kind == "IN":
+            what, first = value[0]
+            some = ["q"] if str(what) == "NEGATE" else [chr(first if str(what) == "LITERAL" else first[0])]
+        elif kind == "NOT_LITERAL":
+            some = ["q"]
+        elif kind == "SUBPATTERN":
+            some = wordings(value[3])
+        elif kind == "BRANCH":
+            some = [x for branch in value[1] for x in wordings(branch)]
+        elif kind == "MAX_REPEAT":
+            least, _, inner = value
+            some = [x * max(least, 1) for x in wordings(inner)] + ([""] if least == 0 else [])
+        else:
+            assert kind.startswith("ASSERT"), kind
+            continue
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_every_alternative_passes_the_filters():
+    for _, label, keyword, shape, _, _ in license_scan.rules():
+        for text in wordings(re._parser.parse(shape)):
+            assert re.search(shape, f" {text} "), (shape, text)
+            assert keyword in f" {text} ", (label, keyword, text)
+            assert any(stem in text for stem in license_scan.STEMS), (label, text)
+
+
+def test_alternatives_without_the_common_word(spark):
+    texts = {
+        "proprietary software": "proprietary", "GNU Library General Public License": "gpl,lgpl",
+        "OpenRAIL-M License": "openrail", "Creative Commons Attribution 4.0": "cc-by-4.0",
+        "see the Creative Commons Attribution 3.0 Unported": "cc-by-3.0",
+    }
+    rows = list(enumerate(texts))
+    got = {rows[r.doc_id][1]: r.labels for r in license_scan.query(make_docs(spark, rows)).collect()}
+    assert got == texts
