@@ -6,6 +6,7 @@ from cartlens.llm import (
     decontam,
     license_scan,
     line_dedup,
+    merkle,
     mixing,
     pii,
     quality_rules,
@@ -84,6 +85,13 @@ def op10_simhash(spark, sf_dir):
     return simhash.query(documents(spark, sf_dir))
 
 
+@register
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.query(documents(spark, sf_dir))
+
+
+ORACLES["op11_merkle_manifest"] = merkle.SQL
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
