@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from cartlens.llm import (
+    clustering,
     compression_quality,
     decontam,
     license_scan,
@@ -92,6 +93,14 @@ def op11_merkle_manifest(spark, sf_dir):
 
 ORACLES["op11_merkle_manifest"] = merkle.SQL
 
+
+@register
+def op12_centroid_clustering(spark, sf_dir):
+    return clustering.query(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_centroid_clustering"] = clustering.SQL
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
