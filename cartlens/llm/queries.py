@@ -9,6 +9,7 @@ from cartlens.llm import (
     line_dedup,
     merkle,
     mixing,
+    neighbours,
     pii,
     quality_rules,
     simhash,
@@ -101,6 +102,12 @@ def op12_centroid_clustering(spark, sf_dir):
 
 ORACLES["op12_centroid_clustering"] = clustering.SQL
 
+
+@register
+def op13_multi_index(spark, sf_dir):
+    return neighbours.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
