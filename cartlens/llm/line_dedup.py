@@ -8,7 +8,9 @@ for every length it may match.  Keys are hashes; only keys that two different li
 to a comparison, which is a banded bit-parallel edit distance on the lines themselves.
 
 With ``whole``, as the registered query and the pipeline have it, that holds for every line
-that is not blank: exact repeats of any length, and near lines within edits scaled to the length.
+that is not blank: exact repeats of any length, and near lines within edits scaled to the length
+of the shorter one.  Lines are split and hashed once and stored; all lengths go through one
+join, in which the length of the shorter line says how many edits are allowed.
 """
 
 from pyspark.sql import functions as F
@@ -39,6 +41,12 @@ def _line_id():
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")]
 
 
+def stored_lines(docs, least=1):
+    """``doc_id, pos, line, n, h1, h2`` of the lines of ``least`` characters, written once."""
+    lines = lines_of(docs).withColumn("n", F.length("line")).where(F.col("n") >= least)
+    return materialise(lines.select("*", *_line_id()), "lines")
+
+
 def segment_places(max_edits):
     """``(shorter, segment, shift, indexed)`` of the keys that a line sends.
 
@@ -57,33 +65,55 @@ def segment_places(max_edits):
     ]
 
 
-def _keyed(lines, max_edits):
-    """``key, indexed, h1, h2`` for every line and place; the key is one short expression."""
-    places = F.array(
-        *[
-            F.struct(
-                F.lit(shorter).alias("shorter"),
-                F.lit(i).alias("i"),
-                F.lit(shift).alias("shift"),
-                F.lit(indexed).alias("indexed"),
-            )
-            for shorter, i, shift, indexed in segment_places(max_edits)
-        ]
-    )
-    parts = max_edits + 1
-    sent = lines.select("line", F.length("line").alias("n"), *_line_id()).select(
-        "line", "h1", "h2", "n", F.inline(places)
-    )
+def scaled_edits(max_edits, min_chars):
+    """``(edits, least, below)``: the lengths of a shorter line that allow so many edits.
+
+    That is ``max_edits * n / min_chars``, rounded down, up to ``max_edits``: by default one
+    edit for 10 to 19 characters, two from there and none below.
+    """
+    starts = [-(-e * min_chars // max_edits) for e in range(1, max_edits + 1)]
+    return list(zip(range(1, max_edits + 1), starts, [*starts[1:], None]))
+
+
+def _keyed(lines, ranges):
+    """``key, indexed, h1, h2`` for every line and place; the key is one short expression.
+
+    ``ranges`` are those of ``scaled_edits``; a line sends the keys of each range that it, or a
+    line that is at most so many edits shorter, lies in.
+    """
+
+    def places(some):
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(edits).alias("edits"),
+                    F.lit(least).alias("least"),
+                    F.lit(below or 2**31 - 1).alias("below"),
+                    F.lit(shorter).alias("shorter"),
+                    F.lit(i).alias("i"),
+                    F.lit(shift).alias("shift"),
+                    F.lit(indexed).alias("indexed"),
+                )
+                for edits, least, below in some
+                for shorter, i, shift, indexed in segment_places(edits)
+            ]
+        )
+
+    # Most lines are longer than what any range but the last one can ask of them.
+    most, last, _ = ranges[-1]
+    sent = F.when(F.col("n") >= last + most, places(ranges[-1:])).otherwise(places(ranges))
+    sent = lines.select("line", "h1", "h2", "n", F.inline(sent))
     # The last segments of a length that does not divide evenly are one longer.
-    sent = sent.withColumn("size", F.col("n") - F.col("shorter")).selectExpr(
-        "line", "h1", "h2", "indexed", "i", "size",
-        f"cast(size / {parts} as int) as width", f"{parts} - size % {parts} as even", "shift",
+    sent = sent.withColumn("size", F.col("n") - F.col("shorter")).where("size >= least and size < below")
+    sent = sent.selectExpr(
+        "line", "h1", "h2", "indexed", "edits", "i", "size",
+        "cast(size / (edits + 1) as int) as width", "edits + 1 - size % (edits + 1) as even", "shift",
     )
     sent = sent.withColumn(
         "start", F.expr("i * width + greatest(0, i - even) + shift")
     ).withColumn("width", F.expr("width + if(i >= even, 1, 0)"))
     return sent.where("start >= 0").selectExpr(
-        "xxhash64(size, i, substring(line, start + 1, width)) as key", "indexed", "h1", "h2"
+        "xxhash64(edits, size, i, substring(line, start + 1, width)) as key", "indexed", "h1", "h2"
     )
 
 
@@ -137,10 +167,22 @@ def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, max_chars=None):
 
     Lines under ``min_chars`` and, where given, over ``max_chars`` characters are left out.
     """
-    lines = lines_of(docs).where(F.length("line") >= min_chars)
+    lines = stored_lines(docs, min_chars)
     if max_chars is not None:
-        lines = lines.where(F.length("line") <= max_chars)
-    keyed = _keyed(lines, max_edits)
+        lines = lines.where(F.col("n") <= max_chars)
+    return _pairs(lines, [(max_edits, min_chars, None)])
+
+
+def scaled_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
+    """Like ``near_pairs``, for lines of all lengths, within the ``scaled_edits`` of the shorter one."""
+    ranges = scaled_edits(max_edits, min_chars)
+    return _pairs(stored_lines(docs, ranges[0][1]), ranges)
+
+
+def _pairs(lines, ranges):
+    """The pairs of stored ``lines`` within the edits that ``ranges`` give the shorter line."""
+    max_edits = ranges[-1][0]
+    keyed = _keyed(lines.where(F.col("n") >= ranges[0][1]), ranges)
     # Every repeat of a line merges into one row before the shuffle, so a frequent line is small.
     shared = materialise(
         keyed.groupBy("key")
@@ -161,7 +203,7 @@ def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, max_chars=None):
     )
     wanted = materialise(members.select("h1", "h2").distinct(), "wanted-lines")
     texts = materialise(
-        _with(lines.select("line", *_line_id()), wanted, ["h1", "h2"])
+        _with(lines.select("line", "h1", "h2"), wanted, ["h1", "h2"])
         .groupBy("h1", "h2")
         .agg(F.first("line").alias("line")),
         "line-texts",
@@ -202,11 +244,13 @@ def near_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, max_chars=None):
         f"if(x.text.n >= y.text.n, {edit_distance('x.text', 'y.text', max_edits)}, "
         f"{edit_distance('y.text', 'x.text', max_edits)})"
     )
+    allowed = " ".join(f"when least(x.text.n, y.text.n) >= {least} then {e}" for e, least, _ in reversed(ranges))
+    allowed = f"(case {allowed} else 0 end)"
     close = f"""(x.indexed or y.indexed) and x.id <> y.id and (block <> other or x.id < y.id)
-        and abs(x.text.n - y.text.n) <= {max_edits}
-        and bit_count(x.parity.one ^ y.parity.one) <= {2 * max_edits}
-        and bit_count(x.parity.two ^ y.parity.two) <= {4 * max_edits}
-        and {distance} <= {max_edits}"""
+        and abs(x.text.n - y.text.n) <= {allowed}
+        and bit_count(x.parity.one ^ y.parity.one) <= 2 * {allowed}
+        and bit_count(x.parity.two ^ y.parity.two) <= 4 * {allowed}
+        and {distance} <= {allowed}"""
     found = left.join(right, ["key", "other"]).select(
         F.explode(
             F.expr(
@@ -226,21 +270,6 @@ def _with(rows, few, keys):
     return rows.join(few, keys, "left_semi")
 
 
-def scaled_pairs(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS):
-    """Near pairs, those with a line under ``min_chars`` within the edits scaled to its length.
-
-    That is ``max_edits * n / min_chars``, rounded down, for the shorter length ``n``: one edit
-    for 10 to 19 characters and none below, by default.
-    """
-    pairs = near_pairs(docs, max_edits, min_chars)
-    for edits in range(1, max_edits):
-        least = -(-edits * min_chars // max_edits)
-        below = -(-(edits + 1) * min_chars // max_edits)
-        # The longer line of a pair may lie above the range of the shorter one.
-        pairs = pairs.unionByName(near_pairs(docs, edits, least, below - 1 + edits))
-    return pairs.distinct()
-
-
 def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, whole=False):
     """``doc_id, dropped, links, classes``: for each document the lines that repeat another.
 
@@ -249,12 +278,10 @@ def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, whole=False):
     smallest line id (hexadecimal) and ``links`` counts the near lines of other wording that
     the dropped lines have.  Documents that lose no line are not in the table.  Lines under
     ``min_chars`` characters are never dropped, unless ``whole``: then every line that is not
-    blank has a class, by its exact repeats and by ``scaled_pairs``.
+    blank has a class, by its exact repeats and by ``scaled_edits``.
     """
-    if whole:
-        pairs = materialise(scaled_pairs(docs, max_edits, min_chars), "scaled-pairs")
-    else:
-        pairs = near_pairs(docs, max_edits, min_chars)
+    lines = stored_lines(docs, 1 if whole else min_chars)
+    pairs = _pairs(lines, scaled_edits(max_edits, min_chars)[0 if whole else -1 :])
     classes = components(pairs, "line-classes")
     degree = (
         pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
@@ -267,12 +294,7 @@ def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, whole=False):
         ),
         "line-roots",
     )
-    places = materialise(
-        lines_of(docs)
-        .where(F.length("line") >= (1 if whole else min_chars))
-        .select("doc_id", "pos", *_line_id()),
-        "line-places",
-    )
+    places = lines.select("doc_id", "pos", "h1", "h2")
     exact = places.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")
     )
@@ -287,7 +309,8 @@ def repeated_lines(docs, max_edits=MAX_EDITS, min_chars=MIN_CHARS, whole=False):
         ),
         "line-firsts",
     )
-    earliest = rooted.groupBy("root").agg(F.min("first").alias("keep"))
+    # Joined as two stored tables, so that AQE can split a class with very many lines.
+    earliest = materialise(rooted.groupBy("root").agg(F.min("first").alias("keep")), "line-earliest")
     marked = materialise(rooted.join(earliest, "root").select("h1", "h2", "root", "links", "keep"), "line-keeps")
     # Both sides are stored tables, so AQE can split the shuffle of a very frequent line.
     return (
