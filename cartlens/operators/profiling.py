@@ -115,36 +115,33 @@ def _sketched_summary(df, columns, accuracy):
     )
 
 
-# Pairs in one aggregate: generated code has a limit per method.
-PAIRS = 24
-
-
 def correlations(df, columns):
     """Pearson correlation of every ordered pair of columns: ``a, b, corr``.
 
     A pair uses the rows where both are present; its correlation is null where one of them does
-    not vary.  The columns are stored once, and a few pairs at a time read only theirs.
+    not vary.  Every row gives a row per pair to one aggregate, whose counts, means and co-moments
+    merge, so the table is read once and a task sends one row per pair.
     """
-    stored = materialise(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlated-columns"
-    )
-    pairs = list(combinations_with_replacement(columns, 2))
-    parts = []
-    for start in range(0, len(pairs), PAIRS):
-        some = pairs[start : start + PAIRS]
-        wide = stored.agg(*[_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(some)])
-        parts.append(
-            wide.select(
-                F.inline(
-                    F.arrays_zip(
-                        F.array(*[F.lit(a) for a, _ in some]).alias("a"),
-                        F.array(*[F.lit(b) for _, b in some]).alias("b"),
-                        F.array(*[F.col(f"c{i}") for i in range(len(some))]).alias("corr"),
-                    )
-                )
-            ).toDF("a", "b", "corr")
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    # A row of nulls counts for nothing, and gives an empty table its pairs.
+    none = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in columns])
+    pairs = F.array(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
+            for a, b in combinations_with_replacement(columns, 2)
+        ]
+    )
+    x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("y"))
+    half = (
+        numeric.unionByName(none)
+        .select(F.inline(pairs))
+        .groupBy("a", "b")
+        .agg(
+            F.covar_pop("x", "y").alias("together"),
+            (F.stddev_pop(x) * F.stddev_pop(y)).alias("spread"),
         )
-    half = reduce(lambda x, y: x.unionByName(y), parts)
+        .select("a", "b", F.try_divide("together", "spread").alias("corr"))
+    )
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     )
@@ -154,14 +151,6 @@ def correlations(df, columns):
     return half.select(known.alias("corr"), F.inline(both)).select("a", "b", "corr")
 
 
-def _corr(a, b):
-    """``corr`` that is null, and no error, where a column does not vary."""
-    spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(
-        F.when(F.col(a).isNotNull(), F.col(b))
-    )
-    return F.try_divide(F.covar_pop(a, b), spread)
-
-
 def histogram(df, column, bins=30):
     """Equal-width bins between the smallest and largest value, empty bins included.
 

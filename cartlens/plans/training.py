@@ -1,12 +1,14 @@
 """Feature pipeline, boosted trees and their parameter search."""
 
+import json
 import random
+import uuid
 from math import sqrt
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     ElementwiseProduct,
@@ -127,18 +129,37 @@ def rounds_to_keep(losses, patience):
     return best + 1
 
 
+def first_trees(model, kept):
+    """The model of the first ``kept`` rounds of a fitted one; nothing is fitted.
+
+    Boosting adds one tree after another, so these are the trees that fewer rounds would have
+    given.  The constructor is that of the JVM class, as Python has none.
+    """
+    fitted = model._java_obj
+    context = SparkContext.getOrCreate()
+    gateway = context._gateway
+    trees = gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, kept)
+    weights = gateway.new_array(context._jvm.double, kept)
+    for i, (tree, weight) in enumerate(zip(model.trees[:kept], model.treeWeights[:kept])):
+        trees[i], weights[i] = tree._java_obj, float(weight)
+    name = f"GBTClassifier_{uuid.uuid4().hex[:12]}"
+    shorter = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        name, trees, weights, fitted.numFeatures(), fitted.numClasses()
+    )
+    return model._copyValues(GBTClassificationModel(shorter))
+
+
 def fit_trees(learner, rows, held_out=None, patience=PATIENCE):
     """Boosted trees on vectors; with ``held_out``, cut after ``patience`` rounds without gain.
 
-    All rounds are fitted, the loss on ``held_out`` is taken after each of them, and the rounds
-    to keep are fitted again, which gives the same trees.
+    All rounds are fitted, the loss on ``held_out`` is taken after each of them, and the trees of
+    the rounds to keep are taken from the fitted model.
     """
-    rows = stable_layout(rows, "row_id")
-    model = learner.fit(rows)
+    model = learner.fit(stable_layout(rows, "row_id"))
     if held_out is None:
         return model
     kept = rounds_to_keep(model.evaluateEachIteration(held_out), patience)
-    return model if kept == model.getNumTrees else learner.copy({learner.maxIter: kept}).fit(rows)
+    return model if kept == model.getNumTrees else first_trees(model, kept)
 
 
 def fit_model(train, validation=None, patience=PATIENCE, **params):
@@ -163,60 +184,110 @@ def _param_maps(estimator, grid):
     return builder.build()
 
 
+class Journal:
+    """What a search has tried, in a folder that outlives its driver.
+
+    Each finished fit is a folder of its own with one JSON row, so that fits that end together
+    do not write to one place; Spark moves a row there only once it is whole.  ``run`` names the
+    data and all that is fixed in a search: rows of another run are not taken for its own.
+    """
+
+    SCHEMA = "run string, setting string, fold int, auc double"
+
+    def __init__(self, spark, path, run):
+        self.spark, self.path, self.run = spark, path, run
+
+    def known(self):
+        """``{(setting, fold): auc}`` of the fits that were written before."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*/part-*")
+        system = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.globStatus(pattern):
+            return {}
+        rows = self.spark.read.schema(self.SCHEMA).json(f"{self.path}/*").where(F.col("run") == self.run)
+        return {(r["setting"], r["fold"]): r["auc"] for r in rows.collect()}
+
+    def add(self, setting, fold, auc):
+        row = self.spark.createDataFrame([(self.run, setting, fold, auc)], self.SCHEMA)
+        row.coalesce(1).write.json(f"{self.path}/fit-{uuid.uuid4().hex}")
+
+
+def _fingerprint(rows):
+    """Count and hash sum of the rows, whatever their order and layout."""
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(38,0)")
+    return "-".join(str(v) for v in rows.agg(F.count(F.lit(1)), F.sum(hashed)).first())
+
+
+def _cost(setting):
+    """Longer fits are larger: a tree of one more level has twice the nodes."""
+    named = {**DEFAULTS, **setting}
+    return named["maxIter"] * 2 ** named["maxDepth"]
+
+
 def search(
     train, grid=None, n_iter=None, folds=SEARCH_FOLDS, parallelism=4, seed=42, validation=None,
-    patience=PATIENCE, **params,
+    patience=PATIENCE, journal=None, **params,
 ):
     """Cross-validated search by ROC AUC: the whole grid, or ``n_iter`` random settings.
 
     Returns the best ``PipelineModel`` and the tried settings as ``[(setting, mean_auc)]``;
     the earlier setting wins ties.  Feature pipeline and class weight are fitted anew for each
     fold, on its training rows.  With ``validation`` every fit stops early on those rows.
+
+    Every setting and fold is a fit of its own, and the longest fits start first.  ``journal``
+    is a folder in shared storage: each finished fit is written there, and a search with the
+    same data and parameters that is started again does only the fits that are missing.
     """
     folded = materialise(stratified_folds(train, folds, seed=seed), "folds")
-    parts = []
-    for fold in range(folds):
+    spark = folded.sparkSession
+    trees = boosted_trees(**params)
+    settings = _param_maps(trees, grid or GRID)
+    if n_iter is not None and n_iter < len(settings):
+        settings = random.Random(seed).sample(settings, n_iter)
+    named = [{param.name: value for param, value in setting.items()} for setting in settings]
+    names = [json.dumps({**params, **setting}, sort_keys=True) for setting in named]
+
+    written, done = None, {}
+    if journal is not None:
+        checked = "" if validation is None else f"{_fingerprint(validation)}/{patience}"
+        written = Journal(spark, journal, f"{_fingerprint(folded)}/{checked}/{folds}/{seed}")
+        done = written.known()
+    fits = [(i, fold) for i in range(len(settings)) for fold in range(folds) if (names[i], fold) not in done]
+    fits.sort(key=lambda fit: (-_cost({**params, **named[fit[0]]}), fit))
+
+    parts = {}
+    for fold in sorted({fold for _, fold in fits}):
         rest = folded.where(F.col("fold") != fold)
         prepared = feature_pipeline(rest)
         checked = None
         if validation is not None:
             checked = materialise(_vectors(prepared, validation), "fold-validation")
-        parts.append(
-            (
-                materialise(_vectors(prepared, with_class_weight(rest)), "fold-train"),
-                materialise(
-                    _vectors(prepared, folded.where(F.col("fold") == fold)), "fold-test"
-                ),
-                checked,
-            )
+        parts[fold] = (
+            materialise(_vectors(prepared, with_class_weight(rest)), "fold-train"),
+            materialise(_vectors(prepared, folded.where(F.col("fold") == fold)), "fold-test"),
+            checked,
         )
-    trees = boosted_trees(**params)
-    settings = _param_maps(trees, grid or GRID)
-    if n_iter is not None and n_iter < len(settings):
-        settings = random.Random(seed).sample(settings, n_iter)
     # No bins: scores are ranked as they are, however many there are.
     evaluator = BinaryClassificationEvaluator(
         labelCol=TARGET, metricName="areaUnderROC", numBins=0
     )
 
-    def mean_auc(setting):
-        aucs = []
-        for rest, test, checked in parts:
-            model = fit_trees(trees.copy(setting), rest, checked, patience)
-            aucs.append(evaluator.evaluate(model.transform(test)))
-        return float(sum(aucs) / folds)
+    def fit(which):
+        i, fold = which
+        rest, test, checked = parts[fold]
+        model = fit_trees(trees.copy(settings[i]), rest, checked, patience)
+        auc = float(evaluator.evaluate(model.transform(test)))
+        if written is not None:
+            written.add(names[i], fold, auc)
+        return (names[i], fold), auc
 
     # Driver threads that only submit jobs, as in CrossValidator, whose fold column costs a
     # Python UDF over all rows in every fold.
-    with ThreadPool(min(parallelism, len(settings))) as pool:
-        aucs = pool.map(inheritable_thread_target(folded.sparkSession)(mean_auc), settings)
-    best = settings[aucs.index(max(aucs))]
-    tried = [
-        ({param.name: value for param, value in setting.items()}, auc)
-        for setting, auc in zip(settings, aucs)
-    ]
-    chosen = {**params, **{param.name: value for param, value in best.items()}}
-    return fit_model(folded.drop("fold"), validation, patience, **chosen), tried
+    if fits:
+        with ThreadPool(min(parallelism, len(fits))) as pool:
+            done |= dict(pool.map(inheritable_thread_target(spark)(fit), fits, chunksize=1))
+    aucs = [sum(done[name, fold] for fold in range(folds)) / folds for name in names]
+    chosen = {**params, **named[aucs.index(max(aucs))]}
+    return fit_model(folded.drop("fold"), validation, patience, **chosen), list(zip(named, aucs))
 
 
 def search_table(spark, tried):

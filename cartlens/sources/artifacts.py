@@ -26,10 +26,31 @@ METADATA = T.StructType(
 )
 
 
+# Written last, and only by the writer that holds the folder: what has it is whole.
+COMMITTED = "_COMMITTED"
+_OWNED = "_OWNED"
+
+
+def _claim(spark, path):
+    """Create ``path/_OWNED`` unless another writer has; the file system decides who is first."""
+    owned = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{_OWNED}")
+    system = owned.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not system.exists(owned) and system.createNewFile(owned)
+
+
 def save_model(model, features, metrics, save_dir, optimal_threshold, now=None):
-    """Write the pipeline and its metadata to ``save_dir/model_<time>``; return that path."""
+    """Write the pipeline and its metadata to ``save_dir/model_<time>``; return that path.
+
+    A folder belongs to the first who claims it: models saved in the same second go to
+    ``model_<time>_001`` and so on.  The commit marker comes last, so a model whose writer died
+    is never the newest one.
+    """
+    spark = SparkSession.getActiveSession()
     stamp = (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
-    path = f"{save_dir}/model_{stamp}"
+    path, number = f"{save_dir}/model_{stamp}", 0
+    while not _claim(spark, path):
+        number += 1
+        path = f"{save_dir}/model_{stamp}_{number:03d}"
     model.write().overwrite().save(f"{path}/pipeline")
     metadata = {
         "timestamp": stamp,
@@ -37,19 +58,20 @@ def save_model(model, features, metrics, save_dir, optimal_threshold, now=None):
         "metrics": {name: float(value) for name, value in metrics.items()},
         "optimal_threshold": float(optimal_threshold),
     }
-    spark = SparkSession.getActiveSession()
     spark.createDataFrame([metadata], METADATA).coalesce(1).write.mode("overwrite").json(
         f"{path}/metadata"
     )
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{COMMITTED}")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(marker)
     return path
 
 
 def latest_model_path(spark, save_dir):
-    """The newest ``model_<time>`` folder that has a complete pipeline."""
+    """The newest ``model_<time>`` folder that was committed."""
     jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{save_dir}/model_*/pipeline/metadata")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{save_dir}/model_*/{COMMITTED}")
     files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    found = [status.getPath().getParent().getParent().toString() for status in files or []]
+    found = [status.getPath().getParent().toString() for status in files or []]
     if not found:
         raise FileNotFoundError(f"{save_dir} holds no complete model")
     return max(found)

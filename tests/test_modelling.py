@@ -5,6 +5,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from cartlens.operators import attribution as A
@@ -296,3 +297,97 @@ def test_stream_equals_batch_and_keeps_bad_rows_apart(frame, model, spark, tmp_p
     for query in start_scoring(model, stream, str(tmp_path / "out"), 0.4):
         query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "scores")).count() == 540
+
+
+def _parts(frame):
+    split = stratified_split(frame)
+    return [split.where(f"split = '{p}'").drop("split") for p in ("train", "validation")]
+
+
+def test_first_trees_score_as_a_shorter_fit(frame, tmp_path, spark):
+    full = training.fit_model(frame, maxIter=6, maxDepth=3)
+    short = training.fit_model(frame, maxIter=4, maxDepth=3)
+    cut = PipelineModel(stages=[*full.stages[:-1], training.first_trees(full.stages[-1], 4)])
+    assert cut.stages[-1].getNumTrees == 4 and cut.stages[-1].numFeatures == full.stages[-1].numFeatures
+    one, two = (training.scored_set(m, frame).select("row_id", "probability") for m in (cut, short))
+    assert one.exceptAll(two).count() == 0
+    importance = [training.feature_importance(m, frame).collect() for m in (cut, short)]
+    assert importance[0] == importance[1]
+    artifacts.save_model(cut, FEATURES, {}, str(tmp_path / "cut"), 0.5)
+    loaded, _ = artifacts.load_model(spark, str(tmp_path / "cut"))
+    assert training.scored_set(loaded, frame).select("row_id", "probability").exceptAll(two).count() == 0
+    attributed = A.attributions(cut, frame).count()
+    assert attributed == 600
+
+
+def test_early_stopping_fits_once(frame, monkeypatch):
+    fitted = []
+    fit = training.GBTClassifier.fit
+    monkeypatch.setattr(
+        training.GBTClassifier, "fit", lambda self, *a, **k: fitted.append(1) or fit(self, *a, **k)
+    )
+    train, held_out = _parts(frame)
+    stopped = training.fit_model(train, held_out, 2, maxIter=12, maxDepth=4, stepSize=0.9)
+    assert stopped.stages[-1].getNumTrees < 12 and len(fitted) == 1
+
+
+def test_killed_search_resumes(frame, tmp_path, monkeypatch):
+    settings = {"maxDepth": [1, 3], "maxIter": [1, 3]}
+    job = dict(grid=settings, folds=2, parallelism=1, journal=str(tmp_path / "journal"))
+    order, fit = [], training.fit_trees
+
+    def dies(learner, *rest):
+        order.append((learner.getMaxIter(), learner.getMaxDepth()))
+        if len(order) >= 4:
+            raise RuntimeError("driver lost")
+        return fit(learner, *rest)
+
+    monkeypatch.setattr(training, "fit_trees", dies)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        training.search(frame, **job)
+    assert order[:4] == [(3, 3), (3, 3), (1, 3), (1, 3)]  # the longest fits come first
+
+    def counted(learner, *rest):
+        order.append((learner.getMaxIter(), learner.getMaxDepth()))
+        return fit(learner, *rest)
+
+    monkeypatch.setattr(training, "fit_trees", counted)
+    order.clear()
+    _, tried = training.search(frame.repartition(3), **job)
+    assert order[:-1] == [(1, 3), (3, 1), (3, 1), (1, 1), (1, 1)]  # then the best on all rows
+    order.clear()
+    _, again = training.search(frame, **job)
+    assert len(order) == 1 and again == tried
+    _, fresh = training.search(frame, settings, folds=2)
+    assert fresh == tried
+    # Other rows are another search.
+    order.clear()
+    training.search(frame.where("row_id > 9"), **job)
+    assert len(order) == 9
+
+
+def test_half_written_model_is_never_loaded(frame, model, spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "models")
+    first = artifacts.save_model(model, FEATURES, {}, folder, 0.4, datetime(2024, 1, 1))
+
+    class Broken:
+        def write(self):
+            return self
+
+        def overwrite(self):
+            return self
+
+        def save(self, path):
+            model.write().overwrite().save(path)
+            raise RuntimeError("writer lost")
+
+    with pytest.raises(RuntimeError, match="writer lost"):
+        artifacts.save_model(Broken(), FEATURES, {}, folder, 0.9, datetime(2024, 3, 1))
+    assert artifacts.latest_model_path(spark, folder).endswith("model_20240101_000000")
+    same = artifacts.save_model(model, FEATURES, {}, folder, 0.2, datetime(2024, 1, 1))
+    assert same == f"{first}_001"
+    assert artifacts.load_model(spark, folder)[1]["optimal_threshold"] == 0.2
+    # A writer that starts again does not write into the folder of the lost one.
+    after = artifacts.save_model(model, FEATURES, {}, folder, 0.3, datetime(2024, 3, 1))
+    assert after.endswith("model_20240301_000000_001")
+    assert artifacts.load_model(spark, folder)[1]["optimal_threshold"] == 0.3
