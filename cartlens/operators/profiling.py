@@ -122,25 +122,32 @@ def correlations(df, columns):
     not vary.  Every row gives a row per pair to one aggregate, whose counts, means and co-moments
     merge, so the table is read once and a task sends one row per pair.
     """
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    numeric = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
     # A row of nulls counts for nothing, and gives an empty table its pairs.
-    none = df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in columns])
+    none = df.sparkSession.range(1).select(F.array_repeat(F.lit(None).cast("double"), len(columns)).alias("v"))
+    # The pairs are a constant, so the generated code stays short for any number of columns.
     pairs = F.array(
         *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
-            for a, b in combinations_with_replacement(columns, 2)
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+            for i, j in combinations_with_replacement(range(len(columns)), 2)
         ]
     )
     x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("y"))
+    names = F.array(*[F.lit(c) for c in columns])
     half = (
         numeric.unionByName(none)
-        .select(F.inline(pairs))
-        .groupBy("a", "b")
+        .select("v", F.inline(pairs))
+        .select("i", "j", F.get("v", F.col("i")).alias("x"), F.get("v", F.col("j")).alias("y"))
+        .groupBy("i", "j")
         .agg(
             F.covar_pop("x", "y").alias("together"),
             (F.stddev_pop(x) * F.stddev_pop(y)).alias("spread"),
         )
-        .select("a", "b", F.try_divide("together", "spread").alias("corr"))
+        .select(
+            F.get(names, F.col("i")).alias("a"),
+            F.get(names, F.col("j")).alias("b"),
+            F.try_divide("together", "spread").alias("corr"),
+        )
     )
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartlens.operators import attribution as A
 from cartlens.operators import behavior as B
+from cartlens.operators import score_sketch as K
 from cartlens.operators import segments as G
 from cartlens.operators.cleaning import require_columns
 from cartlens.plans import evaluation, scoring
@@ -17,7 +18,7 @@ from cartlens.registry import modelling as M
 from cartlens.registry.base import ORACLES, clicks, register, rounded, scored
 from cartlens.registry.events import _FRAME_SQL
 from cartlens.registry.evaluation import _PR, _ROC
-from cartlens.schema import REQUIRED_COLUMNS, RFM_COLUMNS, SCORING_INPUT
+from cartlens.schema import RFM_COLUMNS, SCORING_INPUT
 from cartlens.session import materialise, scratch_path
 from cartlens.sources import artifacts
 from cartlens.streaming.scoring import read_requests
@@ -244,28 +245,90 @@ def searches_hold(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@register("SELECT true AS fewer_trees, true AS in_range")
+@register("SELECT true AS fewer_trees, true AS same_trees, true AS in_range")
 def early_stopping_holds(spark, sf_dir):
+    """Fewer trees than rounds, and they are the first trees of the model of all rounds."""
     rows = M.early_stopping(spark, sf_dir)
-    trees = {k: F.max(F.when(F.col("patience") == k, F.col("n_trees"))) for k in (0, 10)}
+    trees = {k: F.max(F.when(F.col("patience") == k, F.col("n_trees"))) for k in (0, 3)}
+    full, stopped = (m.stages[-1] for m in M.stopped_models(spark, sf_dir).values())
+    plain = [t.toDebugString.split("\n", 1)[1] for t in full.trees]
+    kept = [t.toDebugString.split("\n", 1)[1] for t in stopped.trees]
     return rows.agg(
-        (trees[10] <= trees[0]).alias("fewer_trees"),
+        (trees[3] < trees[0]).alias("fewer_trees"),
+        F.lit(kept == plain[: len(kept)]).alias("same_trees"),
         F.min(F.col("roc_auc").between(0, 1)).alias("in_range"),
     )
 
 
-@register(f"SELECT row_id, true AS decided FROM ({_rows_of('test')}) JOIN scored USING (row_id) WHERE price > 0", ["scored"])
+@register(f"SELECT row_id, true AS in_range, true AS trees_in_range FROM ({_rows_of('test')})")
+def default_model_scores_hold(spark, sf_dir):
+    """Every test row once, with a probability, by at most the default number of trees."""
+    trees = M.default_model(spark, sf_dir).stages[-1].getNumTrees
+    return M.default_model_scores(spark, sf_dir).select(
+        "row_id",
+        F.col("probability").between(0, 1).alias("in_range"),
+        F.lit(1 <= trees <= M.training.DEFAULTS["maxIter"]).alias("trees_in_range"),
+    )
+
+
+@register("SELECT CAST(4 AS BIGINT) AS settings, true AS same, true AS in_range")
+def resumed_search_holds(spark, sf_dir):
+    """The search that was read from the journal found what the first one had found."""
+    first, second = M.resumed_tried(spark, sf_dir)
+    return M.resumed_search(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("settings"),
+        F.lit(first == second).alias("same"),
+        F.min(F.col("mean_auc").between(0, 1)).alias("in_range"),
+    )
+
+
+@register(
+    """SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS pos, true AS auc_within, true AS ap_within,
+  true AS errors_small, true AS bins_bounded FROM scored""",
+    ["scored"],
+)
+def sketched_ranking_holds(spark, sf_dir):
+    """Bounded curve of the scores: all rows are in it, and the exact metrics within its errors."""
+    scores = scored(spark, sf_dir)
+    curve = materialise(K.binned_curve(K.score_bins(scores, 100)), "binned-curve")
+    exact = M.C.ranking_metrics(M.C.score_curve(scores)).select(
+        F.col("roc_auc").alias("auc"), F.col("average_precision").alias("ap")
+    )
+    totals = curve.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+    def within(found, value, error):
+        return F.abs(F.col(found) - F.col(value)) <= F.col(error) + 1e-12
+
+    found = K.bounded_ranking_metrics(curve).crossJoin(exact).crossJoin(totals)  # single rows
+    return found.select(
+        "n",
+        "pos",
+        within("roc_auc", "auc", "roc_auc_error").alias("auc_within"),
+        within("average_precision", "ap", "average_precision_error").alias("ap_within"),
+        (F.greatest("roc_auc_error", "average_precision_error") < 0.05).alias("errors_small"),
+        (F.col("bins") <= 201).alias("bins_bounded"),
+    )
+
+
+@register(
+    f"SELECT row_id, true AS decided, true AS same FROM ({_rows_of('test')}) JOIN scored USING (row_id) WHERE price > 0",
+    ["scored"],
+)
 def stored_model_scores_hold(spark, sf_dir):
-    """Scores of the stored model: class and band follow the probability and its threshold."""
+    """Scores of the stored model: those of the model before it was stored, and class and band
+    follow the probability and its threshold."""
+    t = M.trained(spark, sf_dir)
     p, threshold = F.col("probability"), F.col("threshold")
     band = F.when((p < 0.3) | (p > 0.7), "high").when((p < 0.4) | (p > 0.6), "medium")
-    return M.stored_model_scores(spark, sf_dir).select(
+    before = M.rounded(scoring.score(t.model, t.test)).select("row_id", F.col("probability").alias("_p"))
+    return M.stored_model_scores(spark, sf_dir).join(before, "row_id").select(
         "row_id",
         (
             p.between(0, 1)
             & (F.col("prediction") == (p >= threshold).cast("int"))
             & (F.col("confidence") == F.coalesce(band, F.lit("low")))
         ).alias("decided"),
+        (p == F.col("_p")).alias("same"),
     )
 
 
@@ -296,24 +359,18 @@ def recommendation_report_holds(spark, sf_dir):
 
 
 @register(
-    " UNION ALL ".join(f"SELECT '{c}' AS missing, true AS refused" for c in REQUIRED_COLUMNS)
-    + " UNION ALL SELECT 'rows', true"
+    "SELECT row_id, true AS scored FROM (" + _rows_of("test") + ") JOIN scored USING (row_id) WHERE price > 0",
+    ["scored"],
 )
-def refused_inputs(spark, sf_dir):
-    """An event table without a required column, and a batch without rows, are refused."""
-    events, found = clicks(spark, sf_dir), []
-
-    def refused(call):
-        try:
-            call()
-        except ValueError:
-            return True
-        return False
-
-    for column in REQUIRED_COLUMNS:
-        found.append((column, refused(lambda c=column: require_columns(events.drop(c)))))
-    found.append(("rows", refused(lambda: scoring.score_batch(None, events.where("false")))))
-    return spark.createDataFrame(found, "missing string, refused boolean")
+def required_columns_and_rows(spark, sf_dir):
+    """Raw events pass the column check, and the test rows of their model frame the batch check.
+
+    Both refusals are plain errors and have unit tests.
+    """
+    events = require_columns(clicks(spark, sf_dir))
+    t = M.trained(spark, sf_dir)
+    batch = scoring.score_batch(t.model, t.test).select("row_id", F.col("prediction").isin(0, 1).alias("scored"))
+    return batch.join(events.select("row_id"), "row_id", "left_semi")
 
 
 @register(f"SELECT row_id, true AS same FROM ({_rows_of('test')}) JOIN scored USING (row_id) WHERE price > 0", ["scored"])

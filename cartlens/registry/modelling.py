@@ -138,23 +138,59 @@ def boosted_tree_scores(spark, sf_dir):
     return rounded(training.scored_set(t.model, t.test))
 
 
+# Steps and trees so large that the loss on other rows rises within a few rounds.
+OVERFIT = {"maxIter": 25, "maxDepth": 4, "stepSize": 0.8}
+
+
+@once
+def stopped_models(spark, sf_dir):
+    """The model of all rounds, and the one that early stopping on the validation rows keeps."""
+    t = trained(spark, sf_dir)
+    full = training.fit_model(t.train, **OVERFIT)
+    return {0: full, 3: training.fit_model(t.train, t.validation, 3, **OVERFIT)}
+
+
 @register()
 def early_stopping(spark, sf_dir):
     """Validation metrics and trees of a model fitted without and with early stopping."""
     t = trained(spark, sf_dir)
-    params = {**LIGHT, "stepSize": 0.3}
     rows = None
-    for patience in (None, 10):
-        checked = None if patience is None else t.validation
-        model = training.fit_model(t.train, checked, patience, **params)
+    for patience, model in stopped_models(spark, sf_dir).items():
         scores = training.scored_set(model, t.validation)
         found = C.ranking_metrics(C.score_curve(scores)).withColumns(
-            {"patience": F.lit(patience or 0), "n_trees": F.lit(model.stages[-1].getNumTrees)}
+            {"patience": F.lit(patience), "n_trees": F.lit(model.stages[-1].getNumTrees)}
         )
         rows = found if rows is None else rows.unionByName(found)
     return rounded(rows)
 
 
+@once
+def default_model(spark, sf_dir):
+    """A model of the library's default size, stopped early on the validation rows."""
+    t = trained(spark, sf_dir)
+    return training.fit_model(t.train, t.validation)
+
+
+@register()
+def default_model_scores(spark, sf_dir):
+    """Test rows scored by a model of the default size: 100 trees of depth 5, patience 20."""
+    return rounded(training.scored_set(default_model(spark, sf_dir), trained(spark, sf_dir).test))
+
+
+@once
+def resumed_tried(spark, sf_dir):
+    """One search written to a journal, and once more from that journal."""
+    t, journal = trained(spark, sf_dir), scratch_path(spark, "search-journal")
+    job = dict(grid={"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, maxIter=5, journal=journal)
+    return [training.search(t.train, **job)[1] for _ in range(2)]
+
+
+@register()
+def resumed_search(spark, sf_dir):
+    """Four settings over three folds; read from the journal of a search that ended before."""
+    return rounded(training.search_table(spark, resumed_tried(spark, sf_dir)[1]))
+
+
 @once
 def grid_tried(spark, sf_dir):
     t = trained(spark, sf_dir)
