@@ -11,8 +11,8 @@ stored, its hash is a node of the next round, and rounds go on until every tree
 
 Proofs come from above.  The steps of a block, found by the round above it, meet the block's
 struct by union and grouping on the block's number; ``transform`` then makes the steps of the
-children from their siblings and ``explode`` hands them down, digit by digit.  Documents are
-joined with nothing, and a hot source is just more blocks.
+children from their siblings and ``explode`` hands them down, digit by digit.  No proof needs a
+join (only the numbering has one, with a row per partition), and a hot source is just more blocks.
 """
 
 from pyspark.sql import Window
