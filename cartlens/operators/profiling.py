@@ -2,6 +2,7 @@
 
 from functools import reduce
 from itertools import combinations_with_replacement
+from math import sqrt
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from cartlens.functions.expressions import ratio
 from cartlens.functions.ordered import exact_quantiles
 from cartlens.session import materialise
 
+SKETCH_LOG2 = 14
+
 
 def value_counts(df, column):
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n_events"))
@@ -43,6 +46,46 @@ def unique_visitors(df):
     return df.agg(F.count_distinct("user_id").alias("n_visitors"))
 
 
+def daily_visitor_sketches(df, log2_size=SKETCH_LOG2):
+    """``event_date, visitors``: a sketch of the distinct visitors of each day.
+
+    Stored once, the sketches answer any range of days without the events; sketches of new days
+    are added beside them.  A sketch takes at most about 2^``log2_size`` bytes, and its standard
+    error is ``sketch_error``.
+    """
+    return df.groupBy(F.to_date("event_time").alias("event_date")).agg(
+        F.hll_sketch_agg("user_id", F.lit(log2_size)).alias("visitors")
+    )
+
+
+def sketch_error(log2_size=SKETCH_LOG2):
+    """The relative standard error of a count from sketches of that size."""
+    return 1.04 / sqrt(2**log2_size)
+
+
+def visitors_between(sketches, first, last):
+    """``n_visitors``: about how many visitors came from ``first`` to ``last``, both included."""
+    days = sketches.where(F.col("event_date").between(F.lit(first), F.lit(last)))
+    return days.agg(
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("visitors")), F.lit(0)).alias("n_visitors")
+    )
+
+
+def rolling_visitors(sketches, days=7):
+    """``event_date, n_visitors``: about how many visitors came in the ``days`` up to each stored day.
+
+    Each sketch goes to the days whose range holds it, so sketches are shuffled and not events.
+    """
+    ends = F.explode(F.sequence("event_date", F.date_add("event_date", days - 1)))
+    stored = sketches.select("event_date").distinct()
+    return (
+        sketches.select(ends.alias("event_date"), "visitors")
+        .join(stored, "event_date", "left_semi")
+        .groupBy("event_date")
+        .agg(F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("n_visitors"))
+    )
+
+
 def column_means(df, columns):
     return df.agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
 

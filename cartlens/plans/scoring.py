@@ -31,8 +31,12 @@ def with_decision(scored, threshold=DEFAULT_THRESHOLD):
 
 def score(model, requests, threshold=DEFAULT_THRESHOLD):
     """Score the requests that meet all rules."""
-    accepted = scoring_inputs(valid_rows(requests, request_rules()))
-    scored = with_probability(model, accepted).select("row_id", "probability")
+    return scored_requests(model, valid_rows(requests, request_rules()), threshold)
+
+
+def scored_requests(model, accepted, threshold=DEFAULT_THRESHOLD):
+    """Scores and decisions for requests that were found to meet all rules."""
+    scored = with_probability(model, scoring_inputs(accepted)).select("row_id", "probability")
     return with_decision(scored, threshold)
 
 

@@ -13,6 +13,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     ElementwiseProduct,
     OneHotEncoder,
+    SQLTransformer,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
@@ -45,12 +46,42 @@ DRAWS = 20
 SEARCH_FOLDS = 3
 PATIENCE = 20
 DEFAULTS = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
-# More categories than this would make the feature vector, which the driver describes, too wide.
-MAX_CATEGORIES = 10_000
+# Categories with a slot of their own in the feature vector, and the slots the others share.
+FREQUENT = 1_000
+SHARED = 256
+
+
+def frequent_values(train, column, k=FREQUENT):
+    """The ``k`` most frequent values of a column as text; ties go to the smaller one."""
+    counted = train.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).count()
+    return [r["value"] for r in counted.orderBy(F.desc("count"), "value").limit(k).collect()]
+
+
+def _sql_text(value):
+    """A SQL literal; its first underscore is escaped, as the stage replaces ``__THIS__``."""
+    value = value.replace("\\", "\\\\").replace("'", "\\'").replace("__THIS__", "\\u005f_THIS__")
+    return f"'{value}'"
+
+
+def level_stage(frequent, shared=SHARED):
+    """A stage that adds ``_<column>_level``: a frequent value itself, else a hash slot.
+
+    ``frequent`` maps columns to their frequent values.  A null value stays null.
+    """
+    levels = []
+    for column, values in frequent.items():
+        text = f"CAST(`{column}` AS STRING)"
+        quoted = ", ".join(_sql_text(v) for v in values)
+        own = f"WHEN {text} IN ({quoted}) THEN {text} " if values else ""
+        slot = f"concat('rest ', pmod(xxhash64({text}), {shared}))"
+        levels.append(
+            f"CASE WHEN `{column}` IS NULL THEN NULL {own}ELSE {slot} END AS `_{column}_level`"
+        )
+    return SQLTransformer(statement=f"SELECT *, {', '.join(levels)} FROM __THIS__")
 
 
 def feature_stages(n_rows, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES):
-    """Stages that scale the numeric columns and one-hot encode the categorical ones.
+    """Stages that scale the numeric columns and one-hot encode the levels of the categorical ones.
 
     ``StandardScaler`` divides by the sample deviation; the product with sqrt(n / (n - 1))
     turns that into the population deviation.  A category not seen in training gets all
@@ -68,7 +99,7 @@ def feature_stages(n_rows, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEA
             scalingVec=Vectors.dense([to_population] * len(numeric)),
         ),
         StringIndexer(
-            inputCols=list(categorical),
+            inputCols=[f"_{c}_level" for c in categorical],
             outputCols=indexed,
             handleInvalid="keep",
             stringOrderType="alphabetAsc",
@@ -79,12 +110,16 @@ def feature_stages(n_rows, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEA
 
 
 def feature_pipeline(train, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES):
-    """The fitted feature stages; refuses a column with more than ``MAX_CATEGORIES`` values."""
-    for column in categorical:
-        levels = train.select(column).distinct().limit(MAX_CATEGORIES + 1).count()
-        if levels > MAX_CATEGORIES:
-            raise ValueError(f"{column} has over {MAX_CATEGORIES} values, too many to one-hot encode")
-    return Pipeline(stages=feature_stages(train.count(), numeric, categorical)).fit(train)
+    """The fitted feature stages, for categorical columns of any number of values.
+
+    The most frequent values of a column have a slot each; the others share slots by their
+    hash, so the vector, which the driver describes, stays bounded.  A value not seen in
+    training gets zeros, or the slot of the rare values whose hash it has.
+    """
+    stages = feature_stages(train.count(), numeric, categorical)
+    if categorical:
+        stages.insert(0, level_stage({c: frequent_values(train, c) for c in categorical}))
+    return Pipeline(stages=stages).fit(train)
 
 
 def feature_names(transformed, numeric=NUMERIC_FEATURES):

@@ -32,7 +32,7 @@ from cartlens.schema import CLICKSTREAM, FEATURES, NUMERIC_FEATURES, TARGET
 from cartlens.session import materialise, scratch_path
 from cartlens.sources import artifacts
 from cartlens.sources.clickstream import STAR_EVENTS, STAR_PARTS, adapt_events
-from cartlens.streaming.scoring import read_requests, write_stream
+from cartlens.streaming.scoring import read_part, read_requests, start_split, write_stream
 
 # The model behind the queries: fewer and smaller trees than the defaults, for small tables.
 LIGHT = {"maxIter": 20, "maxDepth": 3}
@@ -422,3 +422,26 @@ def stream_rejected(spark, sf_dir):
         F.concat_ws(",", "violations").alias("violations"),
     )
     return run_stream(spark, bad, "stream-rejected")
+
+
+@register(
+    f"""SELECT row_id, probability, CAST(NULL AS VARCHAR) AS violations FROM (
+  {ORACLES["stream_scores"]})
+UNION ALL SELECT row_id, NULL, violations FROM ({ORACLES["quarantined_events"]})"""
+)
+def stream_split(spark, sf_dir):
+    """Scores and refusals of one stream that reads each row once."""
+    out = scratch_path(spark, "stream-split")
+
+    def accept(rows):
+        scores = rows.select("row_id", stand_in_probability(F.lit(0)).alias("probability"))
+        return scoring.with_decision(scores)
+
+    start_split(_stream(spark, sf_dir), raw_rules(), accept, out).awaitTermination()
+    accepted = read_part(spark, out, "scores").select(
+        "row_id", "probability", F.lit(None).cast("string").alias("violations")
+    )
+    refused = read_part(spark, out, "rejected").select(
+        "row_id", F.lit(None).cast("double").alias("probability"), "violations"
+    )
+    return accepted.unionByName(refused)

@@ -11,6 +11,7 @@ from cartlens.operators import profiling as P
 from cartlens.operators import splits
 from cartlens.registry.base import clicks, features, register, rounded, scored
 from cartlens.schema import NUMERIC_FEATURES
+from cartlens.session import materialise
 
 
 def _parts(spark, sf_dir):
@@ -41,6 +42,38 @@ def daily_unique_visitors(spark, sf_dir):
     return daily.withColumn("event_date", F.col("event_date").cast("string"))
 
 
+@register(
+    """SELECT CAST(d.event_date AS VARCHAR) AS event_date, count(DISTINCT c.user_id) AS n_visitors,
+  true AS within_error
+FROM (SELECT DISTINCT CAST(event_time AS DATE) AS event_date FROM clicks) d
+JOIN clicks c ON CAST(c.event_time AS DATE) BETWEEN d.event_date - 6 AND d.event_date
+GROUP BY d.event_date""",
+    ["clicks"],
+)
+def weekly_visitors(spark, sf_dir):
+    """Visitors of the seven days up to each day: exact, and whether stored sketches come near.
+
+    The sketches may err by four standard errors.
+    """
+    events = clicks(spark, sf_dir).select("event_time", "user_id")
+    sketches = materialise(P.daily_visitor_sketches(events), "visitor-sketches")
+    estimates = P.rolling_visitors(sketches).withColumnRenamed("n_visitors", "estimate")
+    seen = events.select(F.to_date("event_time").alias("day"), "user_id").distinct()
+    ends = F.explode(F.sequence("day", F.date_add("day", 6))).alias("event_date")
+    exact = (
+        seen.select("user_id", ends)
+        .join(estimates, "event_date")
+        .groupBy("event_date", "estimate")
+        .agg(F.count_distinct("user_id").alias("n_visitors"))
+    )
+    error = F.abs(F.col("estimate") - F.col("n_visitors"))
+    return exact.select(
+        F.col("event_date").cast("string").alias("event_date"),
+        "n_visitors",
+        (error <= 4 * P.sketch_error() * F.col("n_visitors") + 0.5).alias("within_error"),
+    )
+
+
 @register("SELECT count(DISTINCT user_id) AS n_visitors FROM clicks", ["clicks"])
 def unique_visitors(spark, sf_dir):
     return P.unique_visitors(clicks(spark, sf_dir))

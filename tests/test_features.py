@@ -1,6 +1,6 @@
 """Cleaning, time, user, session and RFM features."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +254,35 @@ def test_stream_reads_a_file_and_a_folder_of_files(spark, random_events, tmp_pat
         out = str(tmp_path / f"out{i}")
         write_stream(stream, out, str(tmp_path / f"progress{i}")).awaitTermination()
         assert spark.read.parquet(out).count() == 400
+
+
+def test_visitor_sketches_answer_ranges_of_days(make_events):
+    from cartlens.operators import profiling
+
+    day = datetime(2024, 1, 1, 9)
+    rows = []
+    for d in (0, 1, 2, 5):
+        # User 1 has a third of all events; users overlap from day to day; repeated rows.
+        for user in [1] * 20 + list(range(d * 10, d * 10 + 20)) * 2:
+            rows.append((day + timedelta(days=d), "view", 1, "a.b", 1.0, user, f"s{user}"))
+    events = make_events(rows).repartition(5)
+    sketches = profiling.daily_visitor_sketches(events)
+
+    def between(first, last):
+        return profiling.visitors_between(sketches, first, last).first()[0]
+
+    assert between(date(2024, 1, 1), date(2024, 1, 1)) == 20
+    assert between(date(2024, 1, 1), date(2024, 1, 3)) == 40
+    assert between(date(2024, 1, 4), date(2024, 1, 5)) == 0
+    got = {str(r["event_date"]): r["n_visitors"] for r in profiling.rolling_visitors(sketches, 2).collect()}
+    assert got == {"2024-01-01": 20, "2024-01-02": 30, "2024-01-03": 31, "2024-01-06": 21}
+    # Sketches stored day by day give what one pass over all events gives.
+    by_day = [profiling.daily_visitor_sketches(events.where(f"day(event_time) = {d}")) for d in (1, 2, 3, 6)]
+    stored = by_day[0].unionByName(by_day[1]).unionByName(by_day[2]).unionByName(by_day[3])
+    assert profiling.visitors_between(stored, date(2024, 1, 1), date(2024, 1, 6)).first()[0] == between(
+        date(2024, 1, 1), date(2024, 1, 6)
+    )
+    many = events.sparkSession.range(200_000).selectExpr("id AS user_id", "timestamp'2024-01-01' AS event_time")
+    found = profiling.rolling_visitors(profiling.daily_visitor_sketches(many)).first()["n_visitors"]
+    assert abs(found / 200_000 - 1) < 4 * profiling.sketch_error()
+    assert profiling.rolling_visitors(profiling.daily_visitor_sketches(events.where("false"))).count() == 0

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from cartlens.operators import attribution as A
 from cartlens.operators import classification as C
+from cartlens.operators import splits
 from cartlens.operators.splits import hash_sample, stratified_folds, stratified_split
 from cartlens.plans import evaluation, scoring, training
 from cartlens.plans.report import recommendation_report
 from cartlens.schema import FEATURES
 from cartlens.session import materialise
 from cartlens.sources import artifacts
-from cartlens.streaming.scoring import read_requests, start_scoring
+from cartlens.streaming.scoring import read_part, read_requests, start_scoring, start_split_scoring
 
 FRAME = """row_id bigint, price double, hour int, is_weekend int, total_clicks bigint,
 avg_session_time double, purchase_freq double, products_viewed bigint, price_range double,
@@ -84,6 +85,46 @@ def test_hash_sample_repeats(frame):
     assert one == {r["row_id"] for r in hash_sample(frame, 50).collect()} and len(one) == 50
 
 
+def _places(df, seed=42):
+    """Rows of (class, order, key) in order, by plain sorting."""
+    from cartlens.functions.expressions import stable_hash
+
+    rows = df.select("target", stable_hash("row_id", seed).alias("o"), "row_id").collect()
+    return {y: sorted((r["o"], r["row_id"]) for r in rows if r["target"] == y) for y in (0, 1)}
+
+
+@pytest.mark.parametrize("few, bits", [(100_000, 12), (1, 12), (3, 4), (0, 20)])
+def test_cuts_equal_those_of_a_full_sort(frame, monkeypatch, few, bits):
+    monkeypatch.setattr(splits, "FEW_ROWS", few)
+    monkeypatch.setattr(splits, "PREFIX_BITS", bits)
+    # A repeated row, and rows without a class.
+    rows = frame.select("row_id", "target")
+    rows = rows.unionByName(rows.where("row_id < 40")).unionByName(rows.limit(5).withColumn("target", F.lit(None).cast("int")))
+    want = _places(rows)
+    ranks = {"first": 0, "middle": 77, "beyond": 10**6}
+    got = splits.cut_places(rows, F.col("target"), "row_id", 42, lambda size: {**ranks, "last": size - 1})
+    got = {r["_class"]: r for r in got.collect()}
+    assert set(got) == {0, 1}
+    for label, places in want.items():
+        row = got[label]
+        assert tuple(row["_first"]) == places[0] and tuple(row["_middle"]) == places[77]
+        assert tuple(row["_last"]) == places[-1] and row["_beyond"] is None
+
+
+def test_folds_equal_ranks_of_a_full_sort(frame):
+    folds = {r["row_id"]: r["fold"] for r in stratified_folds(frame, 7).collect()}
+    assert folds == {key: i % 7 for places in _places(frame).values() for i, (_, key) in enumerate(places)}
+
+
+def test_parts_of_nothing_and_of_a_class(frame):
+    empty = frame.where("false")
+    assert hash_sample(empty, 5).count() == stratified_split(empty).count() == stratified_folds(empty).count() == 0
+    assert hash_sample(frame, 0).count() == 0 and hash_sample(frame, 10_000).count() == 600
+    one = frame.where("target = 1")
+    assert counts(stratified_split(one, 0.0, 0.0), "split") == {("train",): one.count()}
+    assert stratified_split(one, 1.0).where("split = 'test'").count() == one.count()
+
+
 def test_feature_vectors(frame):
     vectors = training.feature_pipeline(frame).transform(frame)
     names = training.feature_names(vectors)
@@ -147,10 +188,26 @@ def test_search_stops_early_on_the_validation_rows(frame):
     assert best.stages[-1].getNumTrees < 15
 
 
-def test_too_many_categories_are_refused(frame, monkeypatch):
-    monkeypatch.setattr(training, "MAX_CATEGORIES", 1)
-    with pytest.raises(ValueError, match="too many"):
-        training.feature_pipeline(frame)
+def test_twenty_thousand_categories_give_a_bounded_vector(frame, spark):
+    wide = spark.range(40_000).select(
+        F.col("id").alias("row_id"),
+        *[F.col("id").cast("double").alias(c) for c in ("price", "hour")],
+        # 20,000 values, one of them in a third of all rows.
+        F.when(F.col("id") % 3 == 0, "it's __THIS__ \\ one").otherwise(F.concat(F.lit("c"), F.col("id") % 20_000)).alias("main_category"),
+    )
+    prepared = training.feature_pipeline(wide, ["price", "hour"], ["main_category"])
+    rows = prepared.transform(wide).select("row_id", "main_category", "_main_category_level", "features")
+    size = len(rows.first()["features"])
+    assert 2 + training.FREQUENT < size <= 2 + training.FREQUENT + training.SHARED
+    assert rows.where("(row_id % 3 = 0) <> (_main_category_level = main_category AND row_id % 3 = 0)").count() == 0
+    assert rows.where("row_id % 3 = 0 AND _main_category_level <> main_category").count() == 0
+    levels = rows.select("_main_category_level").distinct().count()
+    assert levels == size - 2
+    # Every row has exactly one level set.
+    ones = rows.limit(500).collect()
+    assert all(abs(r["features"].toArray()[2:].sum() - 1) < 1e-9 for r in ones)
+    missing = wide.limit(2).withColumn("main_category", F.lit(None).cast("string"))
+    assert all(r["features"].toArray()[2:].sum() == 0 for r in prepared.transform(missing).collect())
 
 
 def test_search_tries_the_grid_and_a_sample(frame):
@@ -299,6 +356,32 @@ def test_stream_equals_batch_and_keeps_bad_rows_apart(frame, model, spark, tmp_p
     assert spark.read.parquet(str(tmp_path / "out" / "scores")).count() == 540
 
 
+def test_one_stream_fills_both_tables(frame, model, spark, tmp_path):
+    broken = frame.withColumn("hour", F.when(F.col("row_id") % 10 == 0, 25).otherwise(F.col("hour")))
+    requests = broken.drop("target")
+    requests.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = read_requests(spark, str(tmp_path / "in"), requests.schema, files_per_trigger=1)
+    out = str(tmp_path / "out")
+
+    def tables():
+        return read_part(spark, out, "scores"), read_part(spark, out, "rejected")
+
+    start_split_scoring(model, stream, out, 0.4).awaitTermination()
+    scores, refused = tables()
+    batch = scoring.score(model, requests, 0.4)
+    assert scores.columns == batch.columns and scores.count() == 540
+    assert scores.exceptAll(batch).count() == 0
+    assert refused.count() == 60 and {r["violations"] for r in refused.collect()} == {"hour"}
+    # A second run finds nothing new; a batch whose end was not noted replaces its own rows.
+    start_split_scoring(model, stream, out, 0.4).awaitTermination()
+    assert [t.count() for t in tables()] == [540, 60]
+    last = max((tmp_path / "out" / "_progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for noted in (last, last.with_name(f".{last.name}.crc")):
+        noted.unlink(missing_ok=True)
+    start_split_scoring(model, stream, out, 0.4).awaitTermination()
+    assert [t.count() for t in tables()] == [540, 60]
+
+
 def _parts(frame):
     split = stratified_split(frame)
     return [split.where(f"split = '{p}'").drop("split") for p in ("train", "validation")]
