@@ -1,12 +1,15 @@
 """Benchmark decontamination: training passages query a BM25 index of test items.
 
-The test items are a bounded side: they are counted, cut into shards of bounded size, and each
-shard is an inverted index that every task holds.  A document is read as overlapping passages,
-each long enough to hold any item of the shard whole.  Scores are BM25 over the score an item
-has against its own text, so 1.0 means that every term of the item is in the passage.  All
-items above the threshold are retrieved: block-max sums rule out blocks of items for whole
-passages at once, and block-max WAND with its pivots scores what is left.  A retrieved item
-counts as leaked if its question and its answer both stand in the passage, in runs of words.
+The test items are a bounded side.  Document frequencies and the mean length are counted over
+all items.  The items are parted by length class and cut into shards of bounded size, and each
+shard is an inverted index that every task of its scan holds; no result depends on how many
+shards there are.  A document is read as overlapping passages, each long enough to hold any item
+of the length class whole.  Scores are BM25 over the score an item has against its own text, so
+1.0 means that every term of the item is in the passage.  All items above the threshold are
+retrieved: block-max sums rule out blocks of items for whole passages at once, and block-max
+WAND with its pivots scores what is left.  A retrieved item counts as leaked if its question and
+its answer both stand in the passage, in runs of words; of equally good passages the first one
+is reported.  Very long texts are read whole, with work in proportion to their length.
 """
 
 import re
@@ -18,6 +21,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartlens.session import materialise
+
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 K1, B = 1.2, 0.75
@@ -27,6 +32,8 @@ RUN = 5
 BLOCKS = 128
 CACHE_WORDS = 300_000
 SHARD_CHARS = 16_000_000
+# Items of up to 64 words are one length class; each class above holds items twice as long.
+FIRST_CLASS = 6
 
 
 def words_of(text):
@@ -69,27 +76,32 @@ def coverage(part, runs, run=RUN):
 class Index:
     """An inverted index of test items with block maxima.
 
-    ``items`` is a list of ``(item_id, text)``; items without words are left out.  Statistics
-    are those of the shard.
+    ``items`` is a list of ``(item_id, text)``; items without words are left out.  ``statistics``
+    are the number of all items, their mean length and the number of items per term, if the
+    index holds only some of them.  ``step`` is at least the length of the longest item.
     """
 
-    def __init__(self, items):
+    def __init__(self, items, statistics=None, step=None):
         kept = [(i, words_of(t), t) for i, t in items]
         kept = sorted(((i, w, t) for i, w, t in kept if w), key=lambda x: (len(x[1]), x[0]))
         self.ids = [i for i, _, _ in kept]
         self.parts = [question_and_answer(t) for _, _, t in kept]
-        self.longest = max((len(w) for _, w, _ in kept), default=0)
+        self.step = step or max((len(w) for _, w, _ in kept), default=0)
         self.terms, postings = {}, defaultdict(list)
-        mean = sum(len(w) for _, w, _ in kept) / max(1, len(kept))
+        if statistics is None:
+            holding = Counter(t for _, w, _ in kept for t in set(w))
+            mean = sum(len(w) for _, w, _ in kept) / max(1, len(kept))
+            statistics = (len(kept), mean, holding)
+        total, mean, holding = statistics
         for n, (_, words, _) in enumerate(kept):
             for term, tf in Counter(words).items():
                 weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
                 postings[self.terms.setdefault(term, len(self.terms))].append((n, weight))
+        idf = [np.log(1 + (total - holding[t] + 0.5) / (holding[t] + 0.5)) for t in self.terms]
         own = np.zeros(len(kept))
-        for found in postings.values():
-            idf = np.log(1 + (len(kept) - len(found) + 0.5) / (len(found) + 0.5))
+        for term, found in postings.items():
             for n, weight in found:
-                own[n] += idf * weight
+                own[n] += idf[term] * weight
         # At most BLOCKS blocks, of neighbours in length; one row of maxima per term.
         self.block_items = max(1, -(-len(kept) // BLOCKS))
         blocks = -(-len(kept) // self.block_items)
@@ -98,9 +110,8 @@ class Index:
         self.items, self.impacts = [], []
         for term in range(len(self.terms)):
             found = postings[term]
-            idf = np.log(1 + (len(kept) - len(found) + 0.5) / (len(found) + 0.5))
             self.items.append([n for n, _ in found])
-            self.impacts.append([idf * weight / own[n] for n, weight in found])
+            self.impacts.append([idf[term] * weight / own[n] for n, weight in found])
             for n, impact in zip(self.items[-1], self.impacts[-1]):
                 block = n // self.block_items
                 self.block_max[term, block] = max(self.block_max[term, block], impact * 1.00001)
@@ -174,8 +185,8 @@ class Index:
         if not self.ids:
             return []
         numbers = self._numbers((text or "").lower())
-        # Steps of the length of the longest item; a passage is two steps, so it holds any item.
-        step = self.longest
+        # No item is longer than a step; a passage is two steps, so it holds any item.
+        step = self.step
         at = np.flatnonzero(numbers >= 0)
         if not len(at):
             return []
@@ -231,42 +242,75 @@ HIT = T.ArrayType(
 )
 
 
-def _searcher(items, threshold, overlap):
+def _searcher(shard, threshold, overlap):
     @F.pandas_udf(HIT)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(items.value)
+        index = Index(*shard.value)
         for texts in batches:
             yield pd.Series([index.leaks(t, threshold, overlap) for t in texts], dtype=object)
 
-    return search
+    # Else the search runs once more, in a filter that Spark puts before an explode.
+    return search.asNondeterministic()
 
 
-def leaks(spark, text, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
-    """A column: the array with one entry per test item that the column ``text`` leaks.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(texts: pd.Series) -> pd.Series:
+    return texts.map(words_of)
 
-    The items go into as many shards as their characters need, so a task holds one index of at
-    most about ``shard_chars`` characters at a time whatever the number of items; every shard
-    sees every document.  Null text and items without words match nothing.
+
+def shards(spark, benchmark, shard_chars=SHARD_CHARS):
+    """Broadcasts of what ``Index`` takes, one per shard of at most about ``shard_chars`` characters.
+
+    Items are parted by length class, and a class by a hash of the item.  One shard at a time
+    passes through the driver.  Without items there is one empty shard.
     """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
-    columns = []
-    for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+    items = items.withColumn("words", _words("text")).where(F.size("words") > 0)
+    power = F.ceil(F.log2(F.size("words").cast("double"))).cast("int")
+    items = items.withColumn("power", F.greatest(power, F.lit(FIRST_CLASS)))
+    items = materialise(items, "benchmark-items")
+    total, mean = items.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    held = items.select(F.explode(F.array_distinct("words")).alias("term"))
+    held = materialise(held.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "benchmark-terms")
+    classes = items.groupBy("power").agg(F.sum(F.length("text")).alias("chars")).orderBy("power").collect()
+    sent = []
+    for power, chars in classes:
+        parts = max(1, -(-chars // shard_chars))
+        for part in range(parts):
+            mine = items.where(
+                (F.col("power") == power) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+            )
+            terms = mine.select(F.explode("words").alias("term")).distinct().join(held, "term")
+            holding = {r["term"]: r["n"] for r in terms.collect()}
+            rows = [(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()]
+            sent.append(spark.sparkContext.broadcast((rows, (total, mean, holding), 2**power)))
+    return sent or [spark.sparkContext.broadcast(([],))]
+
 
-        columns.append(_searcher(sent, threshold, overlap)(text))
-    return F.flatten(F.array(*columns))
+def leaks(spark, text, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
+    """A column: the array with one entry per test item that the column ``text`` leaks.
+
+    A task holds the indexes of all shards; ``query`` and ``drop_leaks`` hold one at a time.
+    Null text and items without words match nothing.
+    """
+    sent = shards(spark, benchmark, shard_chars)
+    return F.flatten(F.array(*[_searcher(shard, threshold, overlap)(text) for shard in sent]))
 
 
-def query(spark, docs, benchmark):
+def query(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
     """One row per document and leaked item: score and overlaps of the best passage.
 
-    Documents without a leak have no row; repeated documents each have theirs.
+    Documents without a leak have no row; repeated documents each have theirs.  Null and empty
+    texts leak nothing, and without documents or items there are no rows.  Every shard is a
+    scan of its own, so that a task holds one index.  Only ``doc_id`` and ``text`` are read, so
+    other columns may have any name.
     """
-    found = docs.select("doc_id", leaks(spark, F.col("text"), benchmark).alias("leaks"))
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select(
+    found = None
+    for shard in shards(spark, benchmark, shard_chars):
+        hits = docs.select("doc_id", _searcher(shard, threshold, overlap)(F.col("text")).alias("leaks"))
+        hits = hits.select("doc_id", F.explode("leaks").alias("leak"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.select(
         "doc_id",
         "leak.item_id",
         F.round("leak.score", 6).alias("score"),
@@ -276,6 +320,14 @@ def query(spark, docs, benchmark):
     )
 
 
-def drop_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP):
-    """The rows without a leaked item; all their columns pass through."""
-    return docs.where(F.size(leaks(spark, F.col("text"), benchmark, threshold, overlap)) == 0)
+def drop_leaks(spark, docs, benchmark, threshold=THRESHOLD, overlap=OVERLAP, shard_chars=SHARD_CHARS):
+    """The rows without a leaked item; all their columns pass through.
+
+    Each shard is a filter of its own.  Between two shards what is left is written, so that a
+    task holds one index and a lost executor costs its tasks only.
+    """
+    for n, shard in enumerate(shards(spark, benchmark, shard_chars)):
+        if n:
+            docs = materialise(docs, "without-leaks")
+        docs = docs.where(F.size(_searcher(shard, threshold, overlap)(F.col("text"))) == 0)
+    return docs

@@ -76,6 +76,42 @@ def test_shards_find_the_same(spark):
     assert got == want
 
 
+def borderline(rng):
+    """Documents with part of an item's words, so that scores lie on both sides of the threshold."""
+    rows = []
+    for doc in range(150):
+        item, text = rng.choice(ITEMS[:40])
+        words = [w if rng.random() < 0.35 + 0.6 * (doc % 10) / 9 else "filler" for w in text.split()]
+        rows.append((doc, " ".join([prose(3000 + doc, doc % 60), *words, prose(4000 + doc, 20)])))
+    return rows
+
+
+def test_the_number_of_shards_changes_no_row(spark):
+    docs = make_docs(spark, borderline(random.Random(5)))
+    # Common and rare terms, so that the statistics of a part would differ from those of all.
+    items = [(i, f"{prose(i % 3, 6)} {t}" if t and i % 2 else t) for i, t in ITEMS]
+    benchmark = spark.createDataFrame(items, SCHEMA)
+    chars = sum(len(t or "") for _, t in items)
+    found = []
+    for parts in (1, 3, 50):
+        size = chars // parts + 1
+        assert len(decontam.shards(spark, benchmark, size)) >= parts // 2
+        rows = decontam.query(spark, docs, benchmark, 0.6, 0.3, size).collect()
+        found.append(sorted(tuple(r) for r in rows))
+        if parts != 50:
+            kept = decontam.drop_leaks(spark, docs, benchmark, 0.6, 0.3, size)
+            assert {r.doc_id for r in kept.collect()} == set(range(150)) - {r.doc_id for r in rows}
+    assert found[0] == found[1] == found[2]
+    scores = [r[2] for r in found[0]]
+    assert len(scores) > 20 and min(scores) < 0.65
+
+
+def test_the_search_runs_once_per_document(spark):
+    benchmark = spark.createDataFrame(ITEMS[:5], SCHEMA)
+    plan = decontam.query(spark, make_docs(spark, [(1, "a b")]), benchmark)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_a_changed_word_is_still_a_leak(spark):
     words = ITEMS[3][1].split()
     words[10] = "otherword"
