@@ -3,8 +3,11 @@
 The measures of a document are worked out in its row.  Quantile sketches (KLL) of each measure
 are merged per language and source, per language, and over the corpus, from the same small
 sketches.  A document fails a measure that lies beyond the outer fence of its own group, with a
-least width that stands for differences of no account.  A group with few documents borrows the
-sketch of its language or of the corpus.
+least width that stands for differences of no account.  A measure that is zero for nearly all
+documents has no quartile distance, so its fence is at least twice the group's 99th percentile.
+A group with few documents borrows the sketch of its language or of the corpus.  Very long
+texts are measured whole; of the input only ``doc_id, lang, source, text`` are read, so other
+columns may have any name.
 """
 
 from pyspark.sql import functions as F
@@ -24,8 +27,14 @@ MEASURES = (
     ("word_length", "both", 2.0),
     ("symbol_share", "high", 0.05),
     ("dup_line_share", "high", 0.30),
-    ("repeat_share", "high", 0.30),
+    ("repeat_share", "high", 0.05),
+    # Logarithm: a text is far shorter than its group by a factor, not by a number of words.
+    ("log_words", "low", 2.0),
 )
+# Measures whose fence is at least this multiple of that quantile, by a sketch of such size that
+# its rank error (about 0.2 %) is well below what lies beyond the quantile.
+TAILED = {"repeat_share": (2.0, 0.99)}
+SKETCH, TAILED_SKETCH = 200, 2_000
 
 
 def _let(name, value, body):
@@ -93,6 +102,7 @@ def _rates():
         "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
         "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
+        "log_words": F.log2(words.cast("double")),
     }
 
 
@@ -104,20 +114,21 @@ def thresholds(measured, fence=FENCE, min_group=MIN_GROUP):
     least distance of the measure.
     """
     names = [m for m, _, _ in MEASURES]
+    sizes = {m: TAILED_SKETCH if m in TAILED else SKETCH for m in names}
     rates = _rates()
     sound = measured.where(~_base_failed()).select(
         *_keys(), *[rates[m].cast("double").alias(m) for m in names]
     )
     sketched = materialise(
         sound.groupBy("lang_key", "source_key").agg(
-            F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in names]
+            F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, k).alias(m) for m, k in sizes.items()]
         ),
         "quantile-sketches",
     )
 
     def merged(*keys):
         return sketched.groupBy(*keys).agg(
-            F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in names]
+            F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, k).alias(m) for m, k in sizes.items()]
         )
 
     by_lang = merged("lang_key").select("lang_key", *[F.col(c).alias(f"lang_{c}") for c in ("n", *names)])
@@ -136,8 +147,13 @@ def thresholds(measured, fence=FENCE, min_group=MIN_GROUP):
         ).otherwise(F.col(f"all_{name}"))
         low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
         width = F.greatest(F.lit(fence) * (high - low), F.lit(least))
-        columns.append((low - width if side == "both" else F.lit(None).cast("double")).alias(f"low_{name}"))
-        columns.append((high + width).alias(f"high_{name}"))
+        never = F.lit(None).cast("double")
+        columns.append((never if side == "high" else low - width).alias(f"low_{name}"))
+        top = never if side == "low" else high + width
+        if name in TAILED:
+            times, quantile = TAILED[name]
+            top = F.greatest(top, times * F.kll_sketch_get_quantile_double(sketch, F.lit(quantile)))
+        columns.append(top.alias(f"high_{name}"))
     return joined.select(*columns)
 
 

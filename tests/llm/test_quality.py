@@ -69,6 +69,42 @@ def test_thresholds_follow_their_group(spark, monkeypatch):
     assert {r.doc_id: r for r in quality_rules.query(docs).collect()} == got
 
 
+def test_every_measure_decides_a_case(spark):
+    def repeating(seed):
+        words = prose(seed, 90, 3000).split()
+        return " ".join(words[:60] + words[40:50] + words[60:])
+
+    calm = [(i, prose(i, 100, 3000)) for i in range(300)]
+    lines = [("same odd line" if i % 2 else prose(9000 + i, 3, 3000)) for i in range(34)]
+    odd = {
+        1000: " ".join("x".join(w * 2 for w in prose(1, 100).split()[i : i + 1]) for i in range(100)),
+        1001: " ".join("|" + w[1:] for w in prose(2, 100, 3000).split()),
+        1002: "\n".join(lines),
+        1003: repeating(3),
+        1004: prose(4, 22, 3000),
+    }
+    rows = [(i, t, "en", "plain") for i, t in [*calm, *odd.items()]]
+    # Where more than one document in a hundred repeats itself, the same share is no outlier.
+    rows += [(2000 + i, repeating(i) if i % 20 == 0 else t, "en", "songs") for i, t in calm]
+    docs = make_docs(spark, rows)
+    judged = quality_rules.judged(docs).collect()
+    rates = {r.doc_id: r for r in judged}
+    assert not any(r.base_failed for r in judged)
+    assert {r.doc_id for r in judged if not r.kept} == set(odd)
+    assert all(rates[i].kept for i in range(2000, 2300))
+    # Each odd document lies beyond one fence only.
+    beyond = {}
+    for name, column in quality_rules._rates().items():
+        outside = quality_rules.judged(docs).where("doc_id between 1000 and 1004").where(
+            (column < F.col(f"low_{name}")) | (column > F.col(f"high_{name}"))
+        )
+        beyond[name] = sorted(r.doc_id for r in outside.collect())
+    assert beyond == {
+        "word_length": [1000], "symbol_share": [1001], "dup_line_share": [1002],
+        "repeat_share": [1003], "log_words": [1004],
+    }
+
+
 def test_rules_on_ugly_rows_and_empty_table(spark):
     docs = with_clashes(make_docs(spark, ugly_rows()))
     rows = quality_rules.query(docs).collect()
