@@ -92,7 +92,8 @@ def train(docs, labels, per_class=PER_CLASS, text_bytes=DICT_TEXT_BYTES):
             used[row["label"]] += row["n"]
             chosen.append((row["doc_id"],))
     spark = docs.sparkSession
-    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long"))
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    picked = F.broadcast(spark.createDataFrame(chosen, f"doc_id {kind}"))
     texts = {0: [], 1: []}
     taken = sample.where("half = 0").join(picked, "doc_id").select("doc_id", "label", data.alias("data"))
     for row in sorted(taken.collect(), key=lambda r: r["doc_id"]):  # <= 2 * text_bytes

@@ -16,7 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from cartlens.llm.common import components
+from cartlens.llm.common import components, spare
 from cartlens.session import materialise
 
 SHINGLE = 3
@@ -51,8 +51,8 @@ def fingerprint(data, shingle=SHINGLE):
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs, shingle=SHINGLE):
-    """``doc_id, fp``: the fingerprint as a signed long, from whole texts."""
+def fingerprints(docs, shingle=SHINGLE, also=()):
+    """``doc_id, fp``: the fingerprint as a signed long, from whole texts; columns ``also`` follow."""
 
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,7 +60,7 @@ def fingerprints(docs, shingle=SHINGLE):
             found = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64)
             yield pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", hashed(F.col("text").cast("binary")).alias("fp"))
+    return docs.select("doc_id", hashed(F.col("text").cast("binary")).alias("fp"), *also)
 
 
 def tile_offsets(radius):
@@ -197,21 +197,27 @@ def _frame(pairs):
     return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
 
 
-def near_duplicates(docs, shingle=SHINGLE, radius=RADIUS):
-    """``doc_id, fp, component_id``: one row per row of ``docs``.
+def near_duplicates(docs, shingle=SHINGLE, radius=RADIUS, also=()):
+    """``doc_id, fp, component_id``: one row per row of ``docs``; named columns ``also`` follow.
 
     ``component_id`` is the smallest ``doc_id`` that links of at most ``radius`` bits reach.
     Null and empty texts share fingerprint zero.  A row without ``doc_id`` is compared with
-    nothing and has no component.  Rows that share an id are one document with several texts.
+    nothing and has no component.  Rows that share an id are rows of one document: each has the
+    component of its own text.  Texts of any length are hashed whole, in bounded pieces.
     """
-    hashed = materialise(fingerprints(docs, shingle), "fingerprints")
+    hashed = materialise(fingerprints(docs, shingle, also), "fingerprints")
     named = hashed.where(F.col("doc_id").isNotNull())
     classes = materialise(
         named.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes"
     )
     pairs = materialise(links(classes.select("fp"), radius).distinct(), "fingerprint-links")
-    found = components(pairs, "fingerprint-components").withColumnRenamed("node", "fp")
-    linked = classes.join(found, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    found = materialise(components(pairs, "fingerprint-components"), "fingerprint-members")
+    found = found.withColumnRenamed("node", "fp")
+    # Stored, like the members, so that the join on a root with very many members can be split.
+    linked = materialise(
+        classes.join(found, "fp").groupBy("root").agg(F.min("first").alias("component_id")),
+        "fingerprint-smallest",
+    )
     linked = found.join(linked, "root").select("fp", "component_id")
     roots = materialise(
         classes.join(linked, "fp", "left").select(
@@ -224,6 +230,7 @@ def near_duplicates(docs, shingle=SHINGLE, radius=RADIUS):
         "doc_id",
         "fp",
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+        *also,
     )
 
 
@@ -237,13 +244,24 @@ def query(docs):
 def drop_near_duplicates(docs, shingle=SHINGLE, radius=RADIUS):
     """One document of each component, the one with the smallest id; all columns pass through.
 
-    Rows without an id stay.  Of rows that share an id one stays.
+    Rows without an id stay.  Of rows that share an id one stays, on any layout the same: of
+    those whose text is in the component of that id, the one with the smallest hash of its
+    text, then of its other columns.  Columns named like those made here are kept as they are.
     """
+    key = spare(docs, "text_key")
+    # Two hashes, so that different texts are not taken for one another.
+    keyed = docs.withColumn(
+        key, F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
+    )
     kept = (
-        near_duplicates(docs, shingle, radius)
+        near_duplicates(keyed.select("doc_id", "text", key), shingle, radius, [key])
         .where("doc_id = component_id")
-        .select("doc_id")
-        .distinct()
+        .groupBy("doc_id")
+        .agg(F.min(key).alias(key))
     )
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    one = keyed.where(F.col("doc_id").isNotNull()).join(kept, ["doc_id", key], "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rank = F.xxhash64(F.to_json(F.struct(*others)))
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank)
+    one = one.groupBy(F.col("doc_id").alias(spare(docs, "group"))).agg(row.alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -99,6 +99,7 @@ def judged(pages, rules=RULES):
 
     ``inherited`` tells that an alias decided.  Null URLs and URLs without "://" have no rule
     and no alias and are allowed; null HTML names no target.  Repeated rows are judged alike.
+    URLs and HTML of any length are read whole; other columns, whatever their names, are not read.
     """
     url = F.col("url")
     seen = materialise(
@@ -135,11 +136,18 @@ def judged(pages, rules=RULES):
             F.max((F.col("verdict") == "block").cast("int")).alias("blocked"),
         )
     )
-    by_class = decided.join(classes, "node").groupBy("root").agg(
-        F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")
+    # Classes and verdicts are stored before they meet: a class with very many URLs is then a
+    # skewed shuffle that AQE splits, or its verdicts are small enough to be sent to the URLs.
+    classes = materialise(classes, "url-members")
+    by_class = materialise(
+        decided.join(classes, "node")
+        .groupBy("root")
+        .agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
+        .where("blocked = 1 and allowed = 0"),
+        "blocked-classes",
     )
     blocked = materialise(
-        classes.join(by_class.where("blocked = 1 and allowed = 0"), "root").select(
+        classes.join(by_class, "root").select(
             "node", F.lit(True).alias("inherited")
         ),
         "blocked-aliases",

@@ -1,8 +1,10 @@
 """Quality rules against plain counting, and the compression classifier on held-out rows."""
 
+import math
 import random
 import re
 
+import zstandard
 from helpers import make_docs, prose, ugly_rows, with_clashes
 from pyspark.sql import functions as F
 
@@ -143,6 +145,48 @@ def test_classifier_sees_no_held_out_label(spark):
     assert a == b
 
 
+def test_scores_equal_a_plain_reading_of_the_model(spark):
+    """Each score worked out again, one text at a time, with compressors made afresh."""
+    docs, labels = labelled(spark, 120)
+    docs = docs.unionByName(make_docs(spark, [(9_000 + i, t) for i, (_, t, *_) in enumerate(ugly_rows())]))
+    model = compression_quality.train(docs, labels)
+
+    def size(data, dictionary):
+        total = 0
+        for at in range(0, len(data), 2_048):
+            known = zstandard.ZstdCompressionDict(dictionary)
+            tool = zstandard.ZstdCompressor(
+                level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            total += len(tool.compress(data[at : at + 2_048]))
+        return total
+
+    def slow(text):
+        data = (text or "").encode()
+        good, bad = (size(data, d) for d in model["dictionaries"])
+        raw = (0.0, 0.0, 0.0)
+        if data:
+            raw = ((bad - good) / (bad + good), *(math.log(n / len(data) + 0.01) for n in (good, bad)))
+        z = [min(4, max(-4, (x - m) / s)) for x, m, s in zip(raw, model["mean"], model["scale"])]
+        terms = z + [z[i] * z[j] for i in range(3) for j in range(i, 3)]
+        odds = model["beta"][0] + sum(b * t for b, t in zip(model["beta"][1:], terms))
+        return raw[0], 1 / (1 + math.exp(-odds))
+
+    rows = compression_quality.score_documents(docs, model).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        difference, score = slow(r.text)
+        assert math.isclose(r._quality.difference, difference, abs_tol=1e-12)
+        assert math.isclose(r._quality.score, score, abs_tol=1e-9)
+
+
+def test_ids_may_be_text(spark):
+    docs, labels = labelled(spark, 60)
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    got = compression_quality.query(docs.withColumn("doc_id", name), labels.withColumn("doc_id", name))
+    assert got.count() == docs.count() and got.where("doc_id like 'd%'").count() == docs.count()
+
+
 def test_whole_texts_are_packed():
     packer = compression_quality.Packer(b"good words here " * 20, b"")
     short = packer.measures(b"abcdefgh" * 4)

@@ -112,3 +112,20 @@ def test_one_of_each_group_stays_with_all_columns(spark):
     assert ids == [1, 4, 5, 8, 9, 10, 11]
     assert kept.where("doc_id is null").count() == 2
     assert kept.agg(F.max("score")).first()[0] == 1.5
+
+
+def test_rows_of_one_id_leave_the_same_row_on_any_layout(spark):
+    rows = [(5, prose(i, 50), "en", f"s{j}") for i in range(4) for j in range(3)]
+    rows += [(2, prose(1, 50), "en", "s0"), (9, prose(9, 50), "en", "s0")]
+    found = set()
+    for parts in (1, 4, 7):
+        docs = with_clashes(make_docs(spark, rows[::-1] if parts == 4 else rows, parts))
+        docs = docs.withColumn("text_key", F.lit("t")).withColumn("row", F.lit(1))
+        kept = simhash.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        found.add(tuple(sorted((r.doc_id, r.text, r.source) for r in kept.collect())))
+    assert len(found) == 1
+    kept = {i: text for i, text, _ in found.pop()}
+    # The text that document 5 shares with 2 is in the component of 2; one of its others stays.
+    assert sorted(kept) == [2, 5, 9] and kept[2] == prose(1, 50)
+    assert kept[5] in {prose(i, 50) for i in (0, 2, 3)}
