@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cartlens.functions import ordered
 from cartlens.functions.ordered import exact_quantiles, previous_value, running_sums
 from cartlens.sources.clickstream import first_rows
 
@@ -97,3 +98,19 @@ def test_quantiles_expand_no_rows(spark):
     df = spark.range(1000).selectExpr("double(id) as a", "double(id % 9) as b")
     plan = exact_quantiles(df, ["a", "b"], [0.5])._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_layout_has_as_many_partitions_as_its_rows_need(spark, monkeypatch):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = spark.range(1000).withColumnRenamed("id", "row_id")
+        laid = ordered.stable_layout(rows, "row_id")
+        assert laid.rdd.getNumPartitions() == ordered.LEAST_PARTS  # not 50 tasks per job of a fit
+        assert laid.count() == 1000
+        monkeypatch.setattr(ordered, "LAYOUT_ROWS", 40)
+        assert ordered.stable_layout(rows, "row_id").rdd.getNumPartitions() == 25
+        monkeypatch.setattr(ordered, "LAYOUT_ROWS", 1)
+        assert ordered.stable_layout(rows, "row_id").rdd.getNumPartitions() == 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
