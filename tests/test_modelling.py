@@ -474,3 +474,20 @@ def test_half_written_model_is_never_loaded(frame, model, spark, tmp_path, monke
     after = artifacts.save_model(model, FEATURES, {}, folder, 0.3, datetime(2024, 3, 1))
     assert after.endswith("model_20240301_000000_001")
     assert artifacts.load_model(spark, folder)[1]["optimal_threshold"] == 0.3
+
+
+def test_fits_of_a_search_have_local_properties_of_their_own(frame, monkeypatch):
+    """With one copy for all, a fit loses its SQL execution when another one ends."""
+    context, fit, kept = frame.sparkSession.sparkContext, training.fit_trees, []
+
+    def marked(learner, rows, *rest):
+        own = str(id(learner))
+        context.setLocalProperty("fit", own)
+        model = fit(learner, rows, *rest)
+        kept.append(context.getLocalProperty("fit") == own)
+        return model
+
+    monkeypatch.setattr(training, "fit_trees", marked)
+    training.search(frame, {"maxDepth": [1, 2]}, folds=2, maxIter=2)
+    context.setLocalProperty("fit", None)
+    assert len(kept) == 5 and all(kept)
