@@ -3,7 +3,7 @@
 Exact patterns (the base) find what is certain.  Generators of high recall propose overlapping
 spans of looser format: written-out mail addresses, national telephone numbers, numbers cut by
 other marks, full-width characters.  Gradient-boosted trees judge a span by its format and the
-words around it.  There are no labels, so they are trained on a bounded sample of what is sure:
+words around it.  There are no labels, so they are trained on all that is sure:
 base spans and disguised variants of them are positive; made-up look-alikes (dates, versions,
 order and book numbers, clock times, decimals, sentences run together) and proposals without
 any sign of personal data are negative.  A proposal with such a sign, a word that speaks for its
@@ -22,11 +22,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from cartlens.functions.ordered import stable_layout
+from cartlens.functions.ordered import running_sums, stable_layout
 from cartlens.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 10_000
 CONTEXT = 40
 PRECISION = 0.99
 
@@ -299,22 +298,15 @@ def _candidates(found):
     return found.select("row", F.explode("proposed").alias("p")).select("row", "p.*")
 
 
-def training_rows(found, most=SAMPLE):
-    """``kind, x, label, half`` of a sample of proposals, of disguises and of look-alikes.
+def training_rows(found):
+    """``kind, x, label, half`` of the sure proposals, of disguises and of look-alikes.
 
-    ``most`` bounds the known and the unknown proposals of each kind, picked by a hash of what
-    they are, so that their order and storage do not matter.  Every known span gives a disguise
-    of itself, with and without a word that speaks for its kind; every picked proposal gives a
-    look-alike in its place.
+    Every different proposal counts once, whatever the order and storage of its rows.  Every
+    known span gives a disguise of itself, with and without a word that speaks for its kind;
+    every proposal gives a look-alike in its place.
     """
-    rows = _candidates(found).select("kind", "known", "before", "span", "after", "x").distinct()
-    picked = None
-    rank = F.xxhash64("before", "span", "after")
-    for kind in range(len(KINDS)):
-        for known in (0, 1):
-            some = rows.where((F.col("kind") == kind) & (F.col("known") == known))
-            some = some.orderBy(rank, "before", "span", "after").limit(most // (2 * len(KINDS)))
-            picked = some if picked is None else picked.unionByName(some)
+    rows = _candidates(found).where(F.col("known") != UNLABELLED)
+    picked = rows.select("kind", "known", "before", "span", "after", "x").distinct()
 
     def varied(batches):
         for batch in batches:
@@ -344,9 +336,9 @@ def training_rows(found, most=SAMPLE):
     return materialise(picked.mapInPandas(varied, schema), "pii-training")
 
 
-def train(found, trees=20, depth=4, most=SAMPLE):
+def train(found, trees=20, depth=4):
     """The fitted trees and the threshold of each kind, or None where one class is missing."""
-    rows = training_rows(found, most)
+    rows = training_rows(found)
     halves = {(r["half"], r["label"]) for r in rows.select("half", "label").distinct().collect()}
     if not {(0, 0), (0, 1)} <= halves:
         return None, {}
@@ -361,37 +353,38 @@ def train(found, trees=20, depth=4, most=SAMPLE):
     judged = model.transform(vectors.where("half = 1")).select(
         "kind", "label", vector_to_array("probability")[1].alias("p")
     )
-    held_back = [tuple(r) for r in judged.collect()]  # bounded by the sample
-    cuts = {
-        kind: threshold([(p, label) for k, label, p in held_back if k == kind])
-        for kind in range(len(KINDS))
-    }
-    return model, cuts
+    return model, thresholds(judged)
 
 
-def threshold(judged, precision=PRECISION):
-    """The smallest probability from one half up at which ``precision`` of what passes is positive.
+def thresholds(judged, precision=PRECISION):
+    """For each kind the smallest probability at which ``precision`` of what passes is positive.
 
-    Above 1, which nothing reaches, where there is none.
+    ``judged`` has ``kind, label, p``, of any number of rows: one row per level of ``p`` from one
+    half up is put in order.  Above 1, which nothing reaches, where there is none.
     """
-    found, right = 2.0, 0
-    judged = sorted(judged, reverse=True)
-    for i, (p, label) in enumerate(judged):
-        right += label
-        last = i + 1 == len(judged) or judged[i + 1][0] < p
-        if p >= 0.5 and last and right >= precision * (i + 1):
-            found = p
-    return found
+    levels = judged.where("p >= 0.5").groupBy("kind", "p").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")
+    )
+    ranked = running_sums(levels, [F.col("kind"), -F.col("p")], {"all_n": "n", "all_right": "right"})
+    starts = ranked.groupBy("kind").agg(
+        F.min(F.col("all_n") - F.col("n")).alias("n0"),
+        F.min(F.col("all_right") - F.col("right")).alias("right0"),
+    )
+    passed = ranked.join(F.broadcast(starts), "kind").where(
+        F.col("all_right") - F.col("right0") >= precision * (F.col("all_n") - F.col("n0"))
+    )
+    found = {r["kind"]: r["p"] for r in passed.groupBy("kind").agg(F.min("p").alias("p")).collect()}
+    return {kind: found.get(kind, 2.0) for kind in range(len(KINDS))}
 
 
-def redactions(docs, most=SAMPLE):
+def redactions(docs):
     """``doc_id, base, added``: spans ``(kind, start, stop)`` for each row of ``docs``.
 
     ``added`` are proposals over the threshold of their kind that touch no base span and no
     proposal of higher probability (then of greater length, then earlier).
     """
     found = find(docs)
-    model, cuts = train(found, most=most)
+    model, cuts = train(found)
     if model is None:
         return found.select("doc_id", "base", F.expr("filter(base, b -> false)").alias("added"))
     cut = F.lit(2.0)

@@ -164,3 +164,32 @@ def test_disguised_data_are_found_and_other_numbers_are_not(spark):
     assert sum(map(sum, hit.values())) >= 0.9 * len(planted), {k: (sum(v), len(v)) for k, v in hit.items()}
     assert all(sum(v) >= 0.7 * len(v) for v in hit.values()), {k: (sum(v), len(v)) for k, v in hit.items()}
     assert wrong <= 0.03 * len(planted)
+
+
+def plain_threshold(judged):
+    """Smallest probability from one half up at which 99 of 100 that pass are positive."""
+    found = 2.0
+    for cut in {p for p, _ in judged if p >= 0.5}:
+        passed = [label for p, label in judged if p >= cut]
+        if sum(passed) >= 0.99 * len(passed):
+            found = min(found, cut)
+    return found
+
+
+def test_thresholds_equal_plain_counting(spark):
+    rng = random.Random(4)
+    rows = [(k, int(rng.random() < (0.2, 0.999, 0.99)[k]), round(rng.random(), 2)) for k in range(3) for _ in range(1500)]
+    rows = [(k, 1 if p > 0.8 and rng.random() < 0.995 else label, p) for k, label, p in rows]
+    got = pii.thresholds(spark.createDataFrame(rows, "kind int, label int, p double").repartition(5))
+    want = {k: plain_threshold([(p, label) for kind, label, p in rows if kind == k]) for k in range(4)}
+    assert got == want and want[3] == 2.0 and 0.5 <= want[1] < 1
+
+
+def test_every_sure_proposal_trains(spark):
+    rows = [(i, f"{prose(i, 5)} {i % 250 + 1}.2.3.{i // 250 + 1} {prose(i + 1, 5)}") for i in range(3000)]
+    found = pii.find(make_docs(spark, rows))
+    sure = {(p.kind, p.known, p.before, p.span, p.after) for r in found.collect() for p in r.proposed if p.known >= 0}
+    assert sum(s[0] == 1 and s[1] for s in sure) == 3000  # over the 1,250 of a kind that were the most
+    training = pii.training_rows(found)
+    assert training.where("kind = 1 and label = 1").count() >= 3000
+    assert training.count() >= len(sure)
