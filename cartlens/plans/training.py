@@ -153,6 +153,12 @@ def _vectors(prepared, rows):
     return prepared.transform(rows).select("row_id", "features", TARGET, WEIGHT)
 
 
+def _laid_out(vectors):
+    """Vectors in the layout of a fit, whose partitions follow their rows and width."""
+    width = vectors.schema["features"].metadata["ml_attr"]["num_attrs"]
+    return stable_layout(vectors, "row_id", width)
+
+
 def rounds_to_keep(losses, patience):
     """Rounds up to the best loss, when boosting ends after ``patience`` rounds without gain."""
     best = 0
@@ -206,7 +212,7 @@ def fit_model(train, validation=None, patience=PATIENCE, **params):
     """
     prepared = feature_pipeline(train)
     held_out = None if validation is None else _vectors(prepared, validation)
-    rows = stable_layout(_vectors(prepared, with_class_weight(train)), "row_id")
+    rows = _laid_out(_vectors(prepared, with_class_weight(train)))
     model = fit_trees(boosted_trees(**params), rows, held_out, patience)
     return PipelineModel(stages=[*prepared.stages, model])
 
@@ -296,9 +302,7 @@ def search(
         if validation is not None:
             checked = materialise(_vectors(prepared, validation), "fold-validation")
         parts[fold] = (
-            stable_layout(
-                materialise(_vectors(prepared, with_class_weight(rest)), "fold-train"), "row_id"
-            ),
+            _laid_out(materialise(_vectors(prepared, with_class_weight(rest)), "fold-train")),
             materialise(_vectors(prepared, folded.where(F.col("fold") == fold)), "fold-test"),
             checked,
         )

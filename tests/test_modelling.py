@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from cartlens.functions import ordered
 from cartlens.operators import attribution as A
 from cartlens.operators import classification as C
 from cartlens.operators import splits
@@ -491,3 +492,22 @@ def test_fits_of_a_search_have_local_properties_of_their_own(frame, monkeypatch)
     training.search(frame, {"maxDepth": [1, 2]}, folds=2, maxIter=2)
     context.setLocalProperty("fit", None)
     assert len(kept) == 5 and all(kept)
+
+
+def test_layout_of_a_fit_follows_the_width_of_its_vectors(spark, frame, monkeypatch):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    monkeypatch.setattr(ordered, "LAYOUT_ROWS", 15)
+    monkeypatch.setattr(ordered, "LEAST_PARTS", 2)
+    laid, fit = [], training.fit_trees
+    monkeypatch.setattr(
+        training, "fit_trees", lambda learner, rows, *rest: (laid.append(rows), fit(learner, rows, *rest))[1]
+    )
+    try:
+        training.fit_model(frame, maxIter=1, maxDepth=2)
+        training.search(frame, {"maxDepth": [2]}, folds=2, maxIter=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    rows = [(r.count(), r.rdd.getNumPartitions()) for r in laid]
+    assert [n for n, _ in rows] == [600, rows[1][0], 600 - rows[1][0], 600]
+    assert all(held == -(-n // 60) for n, held in rows)  # 12 before

@@ -114,3 +114,19 @@ def test_layout_has_as_many_partitions_as_its_rows_need(spark, monkeypatch):
         assert ordered.stable_layout(rows, "row_id").rdd.getNumPartitions() == 50
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_partitions_of_narrow_rows_hold_more_of_them(spark, monkeypatch):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    monkeypatch.setattr(ordered, "LAYOUT_ROWS", 20)
+    monkeypatch.setattr(ordered, "LAYOUT_VALUES", 1000)
+    try:
+        rows = spark.range(1000).withColumnRenamed("id", "row_id")
+        # Four times the rows at most, and wide rows as many as without a width.
+        for width, expected in ((None, 50), (1000, 50), (25, 25), (12, 13), (1, 13), (0, 13)):
+            laid = ordered.stable_layout(rows, "row_id", width)
+            assert laid.rdd.getNumPartitions() == expected
+            assert laid.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
