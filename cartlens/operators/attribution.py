@@ -4,13 +4,15 @@ Every leaf is a product of one yes/no test per feature on its path.  The Shapley
 such a product has a closed form: with ``o`` the test result of a row and ``z`` the share of
 training rows that pass, feature j gets (o_j - z_j) times a weighted sum over the subsets of
 the other path features, which is a polynomial of the path length.  Trees are small and are
-broadcast; rows stream through in Arrow batches.
+broadcast; rows stream through in Arrow batches.  A path of d features has 2^d patterns of test
+results, so its terms are worked out for the patterns and looked up by the rows.
 """
 
 import sys
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ from cartlens.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SCHEMA = "row_id bigint, base double, contributions array<double>, `values` array<double>"
+_NAMES = ["row_id", "base", "contributions", "values"]
+# Test results of a batch that are kept for the next paths; the paths of a tree share theirs.
+KEPT_TESTS = 256
 
 
 def _leaves(node, path):
@@ -57,10 +62,15 @@ def tree_paths(model):
     return found
 
 
+def _is_left(column, rule):
+    kind, bound = rule
+    return column <= bound if kind == "at_most" else np.isin(column, bound)
+
+
 def _passes(column, rules):
     result = np.ones(len(column), dtype=bool)
-    for (kind, bound), is_left in rules:
-        left = column <= bound if kind == "at_most" else np.isin(column, bound)
+    for rule, is_left in rules:
+        left = _is_left(column, rule)
         result &= left if is_left else ~left
     return result.astype(float)
 
@@ -82,18 +92,48 @@ def _subset_weights(ones, shares):
     )
 
 
+def _terms(value, shares, ones):
+    """What a path adds to each of its features, for arrays of test results."""
+    for j, share in enumerate(shares):
+        others = _subset_weights(ones[:j] + ones[j + 1 :], shares[:j] + shares[j + 1 :])
+        yield value * (ones[j] - share) * others
+
+
 def _contributions(x, paths):
-    phi = np.zeros_like(x)
+    """The base and the contributions, one row per row of ``x``."""
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros_like(columns)
     base = 0.0
+    kept = {}
+
+    def passes(feature, rules):
+        result = np.ones(len(x), dtype=bool)
+        for rule, is_left in rules:
+            if (feature, rule) not in kept:
+                if len(kept) >= KEPT_TESTS:
+                    kept.clear()
+                kept[feature, rule] = _is_left(columns[feature], rule)
+            left = kept[feature, rule]
+            result &= left if is_left else ~left
+        return result
+
     for value, tests in paths:
         features = list(tests)
         shares = [tests[f][0] for f in features]
         base += value * float(np.prod(shares))
-        ones = [_passes(x[:, f], tests[f][1]) for f in features]
-        for j, f in enumerate(features):
-            others = _subset_weights(ones[:j] + ones[j + 1 :], shares[:j] + shares[j + 1 :])
-            phi[:, f] += value * (ones[j] - shares[j]) * others
-    return base, phi
+        passed = [passes(f, tests[f][1]) for f in features]
+        patterns = 2 ** len(features)
+        if patterns > len(x):  # a long path and few rows
+            for f, term in zip(features, _terms(value, shares, [p.astype(float) for p in passed])):
+                phi[f] += term
+            continue
+        place = np.zeros(len(x), dtype=np.intp)
+        for j, p in enumerate(passed):
+            place += p.astype(np.intp) << j
+        ones = [(np.arange(patterns) >> j & 1).astype(float) for j in range(len(features))]
+        for f, term in zip(features, _terms(value, shares, ones)):
+            phi[f] += term[place]
+    return base, phi.T
 
 
 def attributions(model, frame):
@@ -105,15 +145,18 @@ def attributions(model, frame):
 
     def explain(batches):
         for batch in batches:
-            if len(batch):
-                x = np.vstack(batch["x"].to_numpy())
+            n = batch.num_rows
+            if n:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
                 base, phi = _contributions(x, paths.value)
-                yield batch[["row_id"]].assign(
-                    base=base, contributions=list(phi), values=list(x)
+                starts = pa.array(np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32))
+                lists = pa.ListArray.from_arrays(starts, pa.array(phi.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.full(n, base)), lists, batch.column(1)], names=_NAMES
                 )
 
     vectors = model.transform(frame).select("row_id", vector_to_array("features").alias("x"))
-    return vectors.mapInPandas(explain, _SCHEMA)
+    return vectors.mapInArrow(explain, _SCHEMA)
 
 
 def attribution_names(model, frame):

@@ -265,6 +265,23 @@ def test_attributions_equal_the_definition(frame, model):
         assert np.allclose(expected, row["contributions"], atol=1e-12)
 
 
+def test_attributions_work_out_a_path_by_its_patterns(frame, model, monkeypatch):
+    """The terms of a path do not grow with the rows, and rows by themselves give the same."""
+    paths, sizes, weights = A.tree_paths(model.stages[-1]), [], A._subset_weights
+    monkeypatch.setattr(
+        A, "_subset_weights", lambda ones, shares: (sizes.extend(map(len, ones)), weights(ones, shares))[1]
+    )
+    rows = A.attributions(model, frame).select("values").collect()
+    x = np.array([r["values"] for r in rows])
+    base, phi = A._contributions(x, paths)
+    assert max(sizes) <= 2 ** max(len(tests) for _, tests in paths)  # 600 before
+    for i in (0, 1, 599):
+        alone, one = A._contributions(x[i : i + 1], paths)
+        assert alone == base and np.array_equal(one[0], phi[i])
+    monkeypatch.setattr(A, "KEPT_TESTS", 2)
+    assert np.array_equal(A._contributions(x, paths)[1], phi)
+
+
 def test_attribution_tables(frame, model, tmp_path, spark):
     explained, names = A.attributions(model, frame), A.attribution_names(model, frame)
     top = [r["feature"] for r in A.global_importance(explained, names, 10).collect()]
