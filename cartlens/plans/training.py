@@ -203,6 +203,20 @@ def fit_trees(learner, rows, held_out=None, patience=PATIENCE):
     return model if kept == model.getNumTrees else first_trees(model, kept)
 
 
+def in_threads(spark, do, items, parallelism):
+    """``do`` for each item, in driver threads that only submit jobs; the results in order.
+
+    A fit is a chain of short jobs that wait for each other; others fill the cores meanwhile.
+    Each call is wrapped on its own: threads with one copy of the local properties overwrite
+    each other's SQL execution.
+    """
+    tasks = [(inheritable_thread_target(spark)(do), item) for item in items]
+    if not tasks:
+        return []
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda task: task[0](task[1]), tasks, chunksize=1)
+
+
 def fit_model(train, validation=None, patience=PATIENCE, **params):
     """Feature pipeline and boosted trees as one ``PipelineModel``.
 
@@ -320,13 +334,8 @@ def search(
             written.add(names[i], fold, auc)
         return (names[i], fold), auc
 
-    # Driver threads that only submit jobs, as in CrossValidator, whose fold column costs a
-    # Python UDF over all rows in every fold.  Each fit is wrapped on its own: threads with one copy
-    # of the local properties overwrite each other's SQL execution.
-    if fits:
-        tasks = [(inheritable_thread_target(spark)(fit), which) for which in fits]
-        with ThreadPool(min(parallelism, len(fits))) as pool:
-            done |= dict(pool.map(lambda task: task[0](task[1]), tasks, chunksize=1))
+    # CrossValidator's fold column costs a Python UDF over all rows in every fold.
+    done |= dict(in_threads(spark, fit, fits, parallelism))
     aucs = [sum(done[name, fold] for fold in range(folds)) / folds for name in names]
     chosen = {**params, **named[aucs.index(max(aucs))]}
     return fit_model(folded.drop("fold"), validation, patience, **chosen), list(zip(named, aucs))
