@@ -146,8 +146,13 @@ OVERFIT = {"maxIter": 25, "maxDepth": 4, "stepSize": 0.8}
 def stopped_models(spark, sf_dir):
     """The model of all rounds, and the one that early stopping on the validation rows keeps."""
     t = trained(spark, sf_dir)
-    full = training.fit_model(t.train, **OVERFIT)
-    return {0: full, 3: training.fit_model(t.train, t.validation, 3, **OVERFIT)}
+
+    def fit(patience):
+        held_out = t.validation if patience else None
+        return training.fit_model(t.train, held_out, patience, **OVERFIT)
+
+    patiences = [0, 3]
+    return dict(zip(patiences, training.in_threads(spark, fit, patiences, len(patiences))))
 
 
 @register()
