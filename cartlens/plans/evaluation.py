@@ -15,30 +15,29 @@ from cartlens.operators.classification import (
     score_curve,
 )
 from cartlens.operators.splits import stratified_folds
-from cartlens.plans.training import PATIENCE, fit_model, in_threads, scored_set
+from cartlens.plans.training import PATIENCE, fit_model, scored_set
 from cartlens.session import materialise
 
 
-def out_of_fold_scores(frame, k=5, seed=42, patience=PATIENCE, parallelism=5, **params):
+def out_of_fold_scores(frame, k=5, seed=42, patience=PATIENCE, **params):
     """Score every row by a model that was fitted on the other folds.
 
     ``n_trees`` is the size of that model, which early stopping on the held-out fold may cut;
     ``patience=None`` turns that off.
 
-    The folded frame and the scores are written out: each is read many times.  ``parallelism``
-    folds are fitted at a time.
+    The folded frame and the scores are written out: each is read many times.
     """
     folded = materialise(stratified_folds(frame, k, seed=seed), "folds")
-
-    def scored(fold):
+    parts = []
+    for fold in range(k):
         train = folded.where(F.col("fold") != fold).drop("fold")
         held_out = folded.where(F.col("fold") == fold).drop("fold")
         checked = None if patience is None else held_out
         model = fit_model(train, checked, patience, **params)
         kept = F.lit(model.stages[-1].getNumTrees)
-        return scored_set(model, held_out).withColumns({"fold": F.lit(fold), "n_trees": kept})
-
-    parts = in_threads(frame.sparkSession, scored, range(k), parallelism)
+        parts.append(
+            scored_set(model, held_out).withColumns({"fold": F.lit(fold), "n_trees": kept})
+        )
     return materialise(reduce(lambda a, b: a.unionByName(b), parts), "out-of-fold")
 
 
