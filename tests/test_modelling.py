@@ -528,3 +528,19 @@ def test_layout_of_a_fit_follows_the_width_of_its_vectors(spark, frame, monkeypa
     rows = [(r.count(), r.rdd.getNumPartitions()) for r in laid]
     assert [n for n, _ in rows] == [600, rows[1][0], 600 - rows[1][0], 600]
     assert all(held == -(-n // 60) for n, held in rows)  # 12 before
+
+
+def test_random_search_draws_from_the_whole_grid(spark, frame, monkeypatch):
+    from cartlens.registry import modelling as M
+
+    asked = []
+
+    def search(train, grid=None, n_iter=None, **params):
+        asked.append((grid or training.GRID, n_iter, params))
+        return None, [({"maxIter": 100}, 0.5)]
+
+    monkeypatch.setattr(M, "trained", lambda spark, sf_dir: M.Trained(frame, frame, None, None, None))
+    monkeypatch.setattr(training, "search", search)
+    assert M.random_search(spark, "whole-grid").count() == 1
+    assert asked == [(training.GRID, training.DRAWS, {})]
+    assert training.GRID["maxIter"] == [100, 200] and training.DRAWS == 20
