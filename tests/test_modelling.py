@@ -542,5 +542,5 @@ def test_random_search_draws_from_the_whole_grid(spark, frame, monkeypatch):
     monkeypatch.setattr(M, "trained", lambda spark, sf_dir: M.Trained(frame, frame, None, None, None))
     monkeypatch.setattr(training, "search", search)
     assert M.random_search(spark, "whole-grid").count() == 1
-    assert asked == [(training.GRID, training.DRAWS, {})]
+    assert asked == [(training.GRID, training.DRAWS, {"least_parts": 1})]
     assert training.GRID["maxIter"] == [100, 200] and training.DRAWS == 20
